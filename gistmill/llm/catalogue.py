@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gistmill.llm.langid import op10_langid
+from gistmill.llm.secrets import op9_secrets
+from gistmill.llm.sharding import op3_sharding
 from gistmill.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op3_sharding": op3_sharding, "op9_secrets": op9_secrets, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:

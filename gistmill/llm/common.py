@@ -71,8 +71,8 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
             yield value.as_py() or b""
 
 
-def runs(batch: pa.RecordBatch, sizes: list[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Cut a batch into row ranges of about ``limit`` bytes of text each."""
+def runs(sizes: list[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Cut rows into ranges of about ``limit`` bytes of text each."""
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
