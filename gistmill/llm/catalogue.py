@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gistmill.llm.decontaminate import OP2_SQL, op2_decontaminate
 from gistmill.llm.langid import op10_langid
 from gistmill.llm.secrets import op9_secrets
 from gistmill.llm.sharding import op3_sharding
 from gistmill.llm.simhash import op1_simhash
+from gistmill.llm.tiff import op4_tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_sharding": op3_sharding, "op9_secrets": op9_secrets, "op10_langid": op10_langid}
+    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_sharding": op3_sharding, "op4_tiff": op4_tiff, "op9_secrets": op9_secrets, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": OP2_SQL}
