@@ -12,11 +12,12 @@ from gistmill.llm.secrets import op9_secrets
 from gistmill.llm.sharding import op3_sharding
 from gistmill.llm.simhash import op1_simhash
 from gistmill.llm.tiff import op4_tiff
+from gistmill.llm.warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_sharding": op3_sharding, "op4_tiff": op4_tiff, "op9_secrets": op9_secrets, "op10_langid": op10_langid}
+    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_sharding": op3_sharding, "op4_tiff": op4_tiff, "op5_warc": op5_warc, "op9_secrets": op9_secrets, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL}
