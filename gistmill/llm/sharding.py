@@ -38,12 +38,14 @@ def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str]
     before = Window.partitionBy(*within).orderBy("gm_part").rowsBetween(Window.unboundedPreceding, -1)
     if within:
         crossing = totals.groupBy(*within).agg(F.min("gm_part").alias("gm_first"), F.max("gm_part").alias("gm_last")).filter("gm_first < gm_last")
-        totals = totals.join(crossing.drop("gm_first", "gm_last"), within, "left_semi")
+        totals = totals.alias("t").join(crossing.alias("c"), [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in within], "left_semi")
     offsets = totals.select(*within, "gm_part", *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_offset") for c in sizes])
     inside = Window.partitionBy("gm_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in sizes])
-    rows = rows.join(offsets, [*within, "gm_part"], "left")
-    return rows.select(*df.columns, *[(F.col(f"{c}_inside") + F.coalesce(F.col(f"{c}_offset"), F.lit(0))).alias(f"{c}_before") for c in sizes])
+    keys = [*within, "gm_part"]
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    rows = rows.alias("r").join(offsets.alias("o"), same, "left")
+    return rows.select(*[F.col(f"r.{c}") for c in df.columns], *[(F.col(f"{c}_inside") + F.coalesce(F.col(f"{c}_offset"), F.lit(0))).alias(f"{c}_before") for c in sizes])
 
 
 def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
