@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gistmill.llm.decontaminate import OP2_SQL, op2_decontaminate
 from gistmill.llm.langid import op10_langid
 from gistmill.llm.perspectives import OP8_SQL, op8_perspectives
@@ -20,6 +21,7 @@ from gistmill.llm.warc import OP5_SQL, op5_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_sharding": op3_sharding, "op4_tiff": op4_tiff, "op5_warc": op5_warc,
         "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_langid": op10_langid,
     }

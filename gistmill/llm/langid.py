@@ -215,6 +215,34 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(work, f"gm_id {kind}, lang_pred string, score double")
 
 
+def accepted(df: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose language is known: not ``und``, and with a score of at least
+    ``min_score``.  A null language is filled in.  Without a model only texts without letters go."""
+    small_batches(df.sparkSession)
+    place, tag = df.columns.index(text_col), df.columns.index(lang_col)
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value) if held.value else None
+        for batch in batches:
+            found = list(texts(batch.column(place)))
+            keep: list[bool] = []
+            langs: list[str | None] = []
+            for a, b in runs([len(t) for t in found]):
+                if scorer:
+                    got, scores = scorer.texts(found[a:b])
+                    keep += [g != UNDETERMINED and s >= min_score for g, s in zip(got, scores)]
+                    langs += got
+                else:
+                    keep += [has_letter(t) for t in found[a:b]]
+                    langs += [None] * (b - a)
+            columns = list(batch.columns)
+            columns[tag] = pa.array([x if x is not None else y for x, y in zip(columns[tag].to_pylist(), langs)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def fold(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")) % F.lit(parts)

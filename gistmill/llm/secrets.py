@@ -234,6 +234,29 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
+def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All rows and columns of ``df``, with every secret in ``text_col`` replaced, and ``length_col``, if there, brought up to date."""
+    small_batches(df.sparkSession)
+    place = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(place):
+                text = value.as_py()
+                spans = base_spans(text) + confirmed_spans(text) if text else []
+                out.append(redact(text, spans) if spans else text)
+            columns = list(batch.columns)
+            columns[place] = pa.array(out, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    clean = df.mapInArrow(work, df.schema)
+    if length_col and length_col in df.columns:
+        length = F.length(F.col(f"`{text_col}`")).cast(df.schema[length_col].dataType)
+        clean = clean.withColumn(length_col, F.when(F.col(f"`{length_col}`").isNotNull(), length))
+    return clean
+
+
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
     """Secrets in every whole document: pattern spans, and spans confirmed by what they encode."""
     found = scan(documents(spark, sf_dir))

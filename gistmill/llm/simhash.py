@@ -18,6 +18,12 @@ thousands of exact copies are one node.  A crowded cell is cut into blocks of ab
 a spanning forest of the links it found, never all pairs.  Components are found by
 alternating star contraction on stored tables.
 
+``near_groups`` looks for near copies by similarity instead: two texts are linked if one of
+their two fingerprints of distinct words lies within ``radius`` bits and 128 fingerprint bits of 5-word
+shingles (XXH3) differ as little as at a Jaccard similarity of 0.8 or more.  A copy with
+scattered edits keeps most of its words but loses a shingle for each word around an edit,
+so the first test finds it and the second tells it from texts that only share words.
+
 Defined cases.  A null or empty text, or one of white space, has fingerprint zero
 and is linked like any other.  Repeated rows are kept, one result row each.  A row
 whose id is null keeps a null id and does not lend it to its component; a component
@@ -28,6 +34,7 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +48,56 @@ SEED = 42
 _BITS = np.array([[(byte >> bit) & 1 for bit in range(8)] for byte in range(256)], dtype=np.int64)
 
 
+def _spans(words: list[bytes], width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by spaces, and where each shingle of ``width`` words (or all, if fewer) starts and ends in it."""
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(size + 1) - 1
+    n = max(1, len(words) - width + 1)
+    return b" ".join(words), (ends - size)[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
+
+
+def majority(lanes: np.ndarray, counts: np.ndarray) -> None:
+    """Add, for each bit of the byte columns ``lanes``, how often it is set to ``counts``."""
+    for lane, column in enumerate(lanes.T):
+        counts[8 * lane : 8 * lane + 8] += np.bincount(column, minlength=256) @ _BITS
+
+
+def _bits(counts: np.ndarray, n: int) -> int:
+    return sum(1 << bit for bit in range(len(counts)) if 2 * counts[bit] > n)
+
+
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The unsigned 64-bit fingerprint of one text."""
     words = text.lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    n = max(1, len(words) - width + 1)
+    joined, starts, ends = _spans(words, width)
     counts = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        begin = starts[at : min(n, at + (1 << 16))].tolist()
-        end = ends[at + width - 1 : at + width - 1 + len(begin)].tolist() if len(words) >= width else [len(joined)]
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end)], dtype="<u8")
-        for lane, column in enumerate(hashes.view(np.uint8).reshape(-1, 8).T):
-            counts[8 * lane : 8 * lane + 8] += np.bincount(column, minlength=256) @ _BITS
-    return sum(1 << bit for bit in range(64) if 2 * counts[bit] > n)
+    for at in range(0, len(starts), 1 << 16):
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], dtype="<u8")
+        majority(hashes.view(np.uint8).reshape(-1, 8), counts)
+    return _bits(counts, len(starts))
+
+
+def _wide(tokens: Iterator[bytes], n: int) -> tuple[int, int]:
+    """Two 64-bit fingerprints, the halves of the majority of 128-bit hashes."""
+    counts = np.zeros(128, dtype=np.int64)
+    digest = xxhash.xxh3_128_digest
+    while part := b"".join(digest(t) for t in islice(tokens, 1 << 16)):
+        majority(np.frombuffer(part, dtype=np.uint8).reshape(-1, 16), counts)
+    value = _bits(counts, n)
+    return value & 0xFFFFFFFFFFFFFFFF, value >> 64
+
+
+def sketch(text: bytes, width: int = 5) -> tuple[int, int, int, int]:
+    """Two fingerprints of the distinct words of a text, and two of its shingles."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, 0, 0
+    joined, starts, ends = _spans(words, width)
+    kinds = set(words)
+    return _wide(iter(kinds), len(kinds)) + _wide((joined[a:b] for a, b in zip(starts, ends)), len(starts))
 
 
 def _signed(value: int) -> int:
@@ -87,68 +125,78 @@ def covering_masks(radius: int) -> list[int]:
     return [_signed(sum(1 << i for i, f in enumerate(vectors) if (f & v).bit_count() & 1)) for v in range(1, top + 1)]
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within ``left``, or between ``left`` and ``right``."""
-    nodes = left if right is None else np.concatenate([left, right])
-    other = left if right is None else right
-    near = np.bitwise_count(left.view(np.uint64)[:, None] ^ other.view(np.uint64)[None, :]) <= radius
-    if right is None:
-        reach = near
-    else:
-        n, m = near.shape
-        reach = np.zeros((n + m, n + m), dtype=bool)
-        reach[:n, n:], reach[n:, :n] = near, near.T
-    free = np.ones(len(nodes), dtype=bool)
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with the boolean matrix ``near``."""
+    free = np.ones(len(near), dtype=bool)
     edges: list[tuple[int, int]] = []
-    for root in range(len(nodes)):
+    for root in range(len(near)):
         if not free[root]:
             continue
         free[root] = False
         queue = [root]
         while queue:
             at = queue.pop()
-            fresh = np.flatnonzero(reach[at] & free)
+            fresh = np.flatnonzero(near[at] & free)
             free[fresh] = False
             queue += fresh.tolist()
-            edges += [(int(nodes[at]), int(nodes[x])) for x in fresh]
+            edges += [(at, x) for x in fresh.tolist()]
     return edges
 
 
-def links(nodes: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
-    """Edges (a, b) between distinct longs in column ``gm_fp``, enough to connect all that lie within ``radius`` bits."""
+def _near(a: np.ndarray, b: np.ndarray, keys: int, radius: int, confirm: int | None) -> np.ndarray:
+    """Which rows of a and b (columns: ``keys`` fingerprints, then confirming words) are linked."""
+    apart = lambda c: np.bitwise_count(a[:, None, c] ^ b[None, :, c])
+    near = apart(0) <= radius
+    for c in range(1, keys):
+        near |= apart(c) <= radius
+    if confirm is not None:
+        near &= sum(apart(c).astype(np.int16) for c in range(keys, a.shape[1])) <= confirm
+    return near
+
+
+def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radius: int = 4, confirm: int | None = None, block: int = 512) -> DataFrame:
+    """Edges (a, b) between the longs ``gm_node``, enough to connect all that are linked.
+
+    Two nodes are linked if they lie within ``radius`` bits in one of the columns ``keys`` and, with
+    ``confirm``, within that many bits in the columns ``more`` together.
+    """
     masks = covering_masks(radius)
-    cell: Column = F.posexplode(F.array(*[F.col("gm_fp").bitwiseAND(F.lit(m)) for m in masks]))
-    cells = nodes.select("gm_fp", cell.alias("gm_table", "gm_key"))
-    crowded = cells.groupBy("gm_table", "gm_key").agg(F.count("*").alias("gm_n")).filter("gm_n > 1")
+    columns = ["gm_node", *keys, *(more or [])]
+    cell: Column = F.posexplode(F.array(*[F.col(k).bitwiseAND(F.lit(m)) for k in keys for m in masks]))
+    cells = nodes.select(*columns, cell.alias("gm_table", "gm_key"))
+    crowded = nodes.select(cell.alias("gm_table", "gm_key")).groupBy("gm_table", "gm_key").agg(F.count("*").alias("gm_n")).filter("gm_n > 1")
     met = cells.join(crowded, ["gm_table", "gm_key"])
     parts = F.ceil(F.col("gm_n") / F.lit(block)).cast("int")
-    met = met.withColumn("gm_parts", parts).withColumn("gm_part", F.pmod(F.xxhash64("gm_fp"), F.col("gm_parts")).cast("int"))
+    met = met.withColumn("gm_parts", parts).withColumn("gm_part", F.pmod(F.xxhash64("gm_node"), F.col("gm_parts")).cast("int"))
     met = met.withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_parts") - 1)))
-    met = met.select(
-        "gm_table", "gm_key", "gm_fp", "gm_part",
-        F.least("gm_part", "gm_other").alias("gm_i"), F.greatest("gm_part", "gm_other").alias("gm_j"),
-    )
+    i, j = F.least("gm_part", "gm_other"), F.greatest("gm_part", "gm_other")
+    met = met.select("gm_table", "gm_key", "gm_part", F.struct(*columns).alias("gm_row"), i.alias("gm_i"), j.alias("gm_j"))
+    here = lambda test: F.collect_list(F.when(test, F.col("gm_row")))
     groups = met.groupBy("gm_table", "gm_key", "gm_i", "gm_j").agg(
-        F.collect_list(F.when(F.col("gm_part") == F.col("gm_i"), F.col("gm_fp"))).alias("gm_left"),
-        F.collect_list(F.when((F.col("gm_part") == F.col("gm_j")) & (F.col("gm_i") != F.col("gm_j")), F.col("gm_fp"))).alias("gm_right"),
+        here(F.col("gm_part") == F.col("gm_i")).alias("gm_left"), here((F.col("gm_part") == F.col("gm_j")) & (F.col("gm_i") != F.col("gm_j"))).alias("gm_right")
     )
 
+    def matrix(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+        rows = column.flatten()
+        return np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in range(len(columns))], axis=1).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a: list[int] = []
-            b: list[int] = []
-            for i, j, left, right in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                if i == j and len(left) == 2:
-                    if ((left[0] ^ left[1]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius:
-                        a.append(left[0])
-                        b.append(left[1])
-                    continue
-                if len(left) + len(right) < 2 or (i != j and not (left and right)):
+            out: list[tuple[int, int]] = []
+            same = [x == y for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            (left, at), (right, to) = matrix(batch.column(2)), matrix(batch.column(3))
+            for r, alone in enumerate(same):
+                a, b = left[at[r] : at[r + 1]], right[to[r] : to[r + 1]]
+                if len(a) + len(b) < 2 or (not alone and not (len(a) and len(b))):
                     continue
-                for x, y in forest(np.array(left, np.int64), None if i == j else np.array(right, np.int64), radius):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                near = _near(a[:, 1:], a[:, 1:] if alone else b[:, 1:], len(keys), radius, confirm)
+                if not alone:
+                    both = np.zeros((len(a) + len(b),) * 2, dtype=bool)
+                    both[: len(a), len(a) :], both[len(a) :, : len(a)] = near, near.T
+                    near, a = both, np.concatenate([a, b])
+                name = a[:, 0].view(np.int64)
+                out += [(int(name[x]), int(name[y])) for x, y in forest(near)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     found = groups.select("gm_i", "gm_j", "gm_left", "gm_right").mapInArrow(work, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -180,6 +228,16 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         before = tuple(sums)
 
 
+def _grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """gm_node and component_id, the least gm_least of its component, as a stored table."""
+    roots, used = components(edges)
+    placed = nodes.join(roots, F.col("gm_node") == F.col("node"), "left").select("gm_node", "gm_least", F.coalesce("root", "gm_node").alias("gm_root"))
+    least = placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id"))
+    known, _ = stored(placed.join(least, "gm_root").select("gm_node", "component_id"), "components")
+    delete(nodes.sparkSession, *used)
+    return known
+
+
 def simhash_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, block: int = 512
 ) -> DataFrame:
@@ -189,16 +247,56 @@ def simhash_groups(
     can be reached over links.
     """
     prints, _ = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
-    nodes = prints.groupBy("gm_fp").agg(F.min("gm_id").alias("gm_least"))
-    roots, _ = components(links(nodes.select("gm_fp"), radius, block))
-    placed = nodes.join(roots, F.col("gm_fp") == F.col("node"), "left").select("gm_fp", "gm_least", F.coalesce("root", "gm_fp").alias("gm_root"))
-    least = placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id"))
-    known, _ = stored(placed.join(least, "gm_root").select("gm_fp", "component_id"), "components")
-    return prints.join(known, "gm_fp").select(
+    nodes = prints.groupBy(F.col("gm_fp").alias("gm_node")).agg(F.min("gm_id").alias("gm_least"))
+    known = _grouped(nodes, links(nodes.select("gm_node", F.col("gm_node").alias("gm_fp")), ["gm_fp"], radius=radius, block=block))
+    return prints.join(known, F.col("gm_fp") == F.col("gm_node")).select(
         F.col("gm_id").alias(id_col), F.lower(F.lpad(F.hex("gm_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+#: Of 128 fingerprint bits, how many may differ: 19 are expected at a Jaccard similarity of 0.8, with a deviation of 4.
+CONFIRM = 25
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
+    """gm_id, gm_text_hash and the four words of ``sketch`` of every row."""
+    small_batches(df.sparkSession)
+    rows = id_and_text(df, id_col, text_col).withColumn("gm_text_hash", F.xxhash64("gm_text"))
+    names = ["gm_id", "gm_text_hash", "gm_w1", "gm_w2", "gm_s1", "gm_s2"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t, width) for t in texts(batch.column(1))]
+            columns = [pa.array([_signed(f[k]) for f in found], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
+
+    kind = rows.schema["gm_id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"gm_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, confirm: int = CONFIRM, block: int = 512) -> DataFrame:
+    """One row per row of ``df``: gm_id, gm_text_hash and component_id, by similarity of 0.8 or more.
+
+    Texts whose four words agree are one node; its name is their hash.
+    """
+    words = ["gm_w1", "gm_w2", "gm_s1", "gm_s2"]
+    prints, _ = stored(sketches(df, id_col, text_col).withColumn("gm_node", F.xxhash64(*words)), "sketches")
+    nodes, _ = stored(prints.groupBy("gm_node", *words).agg(F.min("gm_id").alias("gm_least")), "nodes")
+    known = _grouped(nodes.select("gm_node", "gm_least"), links(nodes, words[:2], words[2:], radius, confirm, block))
+    return prints.join(known, "gm_node").select("gm_id", "gm_text_hash", "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, with all their columns, of which one stays for each group of near copies: that with the least id
+    (null ids last), then the least text hash.  Repeated rows are one."""
+    groups = near_groups(df, id_col, text_col, **options)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("gm_id").isNull().alias("n"), "gm_id", "gm_text_hash")).alias("gm_first"))
+    keep = first.select(F.col("gm_first.gm_id").alias("gm_id"), F.col("gm_first.gm_text_hash").alias("gm_text_hash"))
+    rows = df.withColumn("gm_row_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    rows = rows.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("gm_id")) & (F.col("gm_row_hash") == F.col("gm_text_hash")))
+    return rows.dropDuplicates([id_col, "gm_row_hash"]).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 4-word shingles, links at 4 or fewer bits."""
     return simhash_groups(documents(spark, sf_dir))
