@@ -13,9 +13,9 @@ The model file is read without the library.  Three machines are compiled from it
   if all its neighbours are compatible in this sense, so one path is finite and it is the encoding.
   Compatibility is read off the merge ranks along the seam of a and b.
 
-Encoding composes the machines with a text and takes the shortest path.  Arcs never cross a
-space that follows a word, nor a character that no longer piece contains, so the lattice falls apart
-there and each part is solved once and remembered (at most twice ``remembered`` parts a worker).
+Encoding composes the machines with a text and takes the shortest path.  Arcs never cross the
+seam of two characters that no piece holds side by side, so the lattice falls apart there
+and each part is solved once and remembered (at most twice ``remembered`` parts a worker).
 Runs of spaces, whose pieces tie in score, are taken longest first from the left, as ties are.
 
 Decoding is the inverse: pieces spell characters, byte pieces UTF-8 (invalid bytes
@@ -32,6 +32,7 @@ the format has it, so such a text decodes to spaces.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,6 +48,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _INFINITE = 1 << 60
+_ESCAPED = re.compile("[\udc80-\udcff]")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -77,7 +79,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """The compiled model."""
 
-    def __init__(self, model: bytes, remembered: int = 250_000):
+    def __init__(self, model: bytes, remembered: int = 500_000):
         self.pieces: list[str] = []
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -112,11 +114,14 @@ class Transducer:
                 self.dummy, self.reduce, self.escape = bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1))
         if self.kind not in (UNIGRAM, BPE) or not self.escape:
             raise ValueError("only unigram and BPE models that escape spaces are taken")
-        self.byte_of = byte_of
+        #: What each id spells; bytes over 127 as lone surrogates until a text is whole.
+        self.spelling = ["" if i in self.controls else " ⁇ " if i == self.unknown else p for i, p in enumerate(self.pieces)]
+        for i, byte in byte_of.items():
+            self.spelling[i] = chr(byte if byte < 128 else 0xDC00 + byte)
         order = sorted(self.ids, key=lambda p: (-self.score[p], self.ids[p]))
         self.rank = {p: i if len(p) > 1 else -1 for i, p in enumerate(order)}
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
-        self.joining = {c for p in self.ids if len(p) > 1 for c in p}
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.unknown_weight = 10 - min(self.score.values(), default=0.0)
         self.runs = [i for i in range(1, 65) if SPACE * i in self.ids]
         self.split: dict[str, tuple[str, str] | None] = {}
@@ -246,18 +251,26 @@ class Transducer:
             return (self.ids[piece],)
         return tuple(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
 
+    def solve(self, text: str) -> list[int]:
+        return [x for p in self.path(text) for x in self.spelled(p)]
+
     def part(self, word: str, lead: str) -> tuple[int, ...]:
-        """Ids of ``lead`` and ``word``; lead is U+2581 or empty."""
-        text, out, at = lead + word, [], 0
-        joining = self.joining
-        for i, c in enumerate(text):
-            if c not in joining:
-                if at < i:
-                    out += [x for p in self.path(text[at:i]) for x in self.spelled(p)]
-                out += self.spelled(c)
-                at = i + 1
-        if at < len(text):
-            out += [x for p in self.path(text[at:]) for x in self.spelled(p)]
+        """Ids of ``lead`` and ``word``, cut wherever no piece holds the two characters; lead is U+2581 or empty."""
+        text, joined = lead + word, self.joined
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return tuple(self.solve(text))
+        out: list[int] = []
+        known, older = self.known, self.older
+        for a, b in zip([0, *cuts], [*cuts, len(text)]):
+            # the first part is remembered as the word that it is, others under a mark that no word has
+            key = text[1:b] if lead and not a and b > 1 else "\ud800" + text[a:b]
+            got = known.get(key) or older.get(key)
+            if got is None:
+                got = tuple(self.solve(text[a:b]))
+                if len(known) < self.remembered:
+                    known[key] = got
+            out += got
         return tuple(out)
 
     def run(self, n: int) -> list[int]:
@@ -306,21 +319,10 @@ class Transducer:
         return out + self.run(waiting)
 
     def decode(self, ids: list[int]) -> str:
-        pieces, byte_of = self.pieces, self.byte_of
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if i in byte_of:
-                held.append(byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i not in self.controls:
-                out.append(pieces[i] if i != self.unknown else " ⁇ ")
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(map(self.spelling.__getitem__, ids))
+        if not text.isascii() and _ESCAPED.search(text):
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        text = text.replace(SPACE, " ")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
