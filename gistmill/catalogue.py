@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.operators import texts
+from gistmill.operators import requests, sets, structured, texts
 
-_MODULES = (texts,)
+_MODULES = (texts, sets, structured, requests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
