@@ -36,7 +36,9 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +81,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """The compiled model."""
 
-    def __init__(self, model: bytes, remembered: int = 500_000):
+    def __init__(self, model: bytes, remembered: int = 250_000):
         self.pieces: list[str] = []
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -127,7 +129,7 @@ class Transducer:
         self.split: dict[str, tuple[str, str] | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         #: Longer pieces that merging their characters gives; no other longer piece is ever on a path of a BPE model.
-        self.whole = {p for p in self.ids if len(p) > 1 and self.kind == BPE and self.last_merge(p)}
+        self.whole = {p: p for p in self.ids if len(p) > 1 and self.kind == BPE and self.last_merge(p)}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.remembered = remembered
@@ -157,7 +159,7 @@ class Transducer:
         """Whether no merge across the seam of a and b comes before the merges that made them."""
         key = (a, b)
         if key not in self.fits:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             limit, fits = _INFINITE, None
             while fits is None:
@@ -190,7 +192,7 @@ class Transducer:
             j += 1
             piece = part[i:j]
             if piece in whole:
-                out.append(piece)
+                out.append(whole[piece])  # one string for all uses
         return out
 
     def _bpe(self, part: str) -> list[str]:
@@ -345,13 +347,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [v.as_py() or "" for v in part.column(1)]
-                ids = [pa.array(machine.encode(t), pa.int32()) for t in found]
-                exact = [machine.decode(i.to_pylist()) == t for i, t in zip(ids, found)]
+                ids = [machine.encode(t) for t in found]
+                exact = [machine.decode(i) == t for i, t in zip(ids, found)]
                 sizes = [len(i) for i in ids]
-                offsets = [0]
-                for n in sizes:
-                    offsets.append(offsets[-1] + n)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(sizes))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes, pa.int64()), pa.array(exact)], names=["gm_id", "ids", "n_tokens", "exact"])
 
     kind = rows.schema["gm_id"].dataType.simpleString()
