@@ -1,21 +1,19 @@
-"""Shared plumbing of the corpus operators: stored tables, text batches, vocab of masks.
+"""Shared plumbing of the corpus operators: stored tables and bounded batches of texts.
 
-Nothing here keeps state on one machine.  Intermediate tables go to the folder
-that the session names in ``spark.checkpoint.dir``; only where that setting is
-unset (tests, notebooks) is a temporary folder made and used instead.
+Intermediate tables go to the folder that the session names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from gistmill.plans.tables import delete, new_path, shared_dir, stored
+
+__all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "shared_dir", "small_batches", "stored", "texts"]
 
 #: Rows and bytes of one Arrow batch that is handed to Python.  Long texts make
 #: large batches, so both are bounded.
@@ -23,41 +21,6 @@ BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="gistmill-")
-    return _LOCAL["dir"]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet in the shared folder; return it reread, and its path.
-
-    This cuts lineage: later stages, and retries after a lost executor, read the
-    table instead of repeating the work that made it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def delete(spark: SparkSession, *paths: str) -> None:
-    """Remove stored tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session, so that long texts fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

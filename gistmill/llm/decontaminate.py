@@ -3,7 +3,9 @@
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters in the
 lower-cased text; a shingle is ``width`` consecutive words, and a text of fewer words has
 one shingle, all of them.  An item is found in a document if the document contains at
-least ``threshold`` of the item's distinct shingles, wherever they stand.
+least ``threshold`` of the item's distinct shingles, wherever they stand.  So an item of fewer words
+than ``width`` is found only in texts that are the same words: a word or two that many
+documents hold are no leak.
 
 Search.  Documents are partitioned by size: class c holds those with 2^(c-1) < n <= 2^c
 shingles.  A document's sketch is a one-permutation MinHash with 2^(c+2) bins, so a bin
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +54,10 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables() -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, up to a segment and the separator that ends it."""
+    """Powers of an odd base and of its inverse modulo 2^64, for the places in a segment."""
     if not _powers:
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(2 * _SEGMENT, base, dtype=np.uint64)
+            table = np.full(_SEGMENT + 1, base, dtype=np.uint64)
             table[0] = 1
             _powers.append(np.multiply.accumulate(table))
     return _powers
@@ -79,35 +82,32 @@ def shingles(text: bytes, width: int) -> set[str]:
     return {" ".join(found[i : i + width]) for i in range(max(1, len(found) - width + 1))} if found else set()
 
 
-def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of at most two segments' length that end at separators (or in a word longer than a segment)."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + _SEGMENT)
-        if end < len(data):
-            stop = np.flatnonzero(_SEPARATOR[data[end : end + _SEGMENT]])
-            end = min(len(data), end + (int(stop[0]) if len(stop) else _SEGMENT))
-        yield at, end
-        at = end
-
-
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of every word of a lower-cased text.
 
-    Prefix sums of byte codes times powers of an odd base give the hash of any word as a difference of two of them.
+    Prefix sums of byte codes times powers of an odd base give the hash of any word as a difference of two of
+    them; they are taken over one segment of words at a time.  A word longer than a segment is hashed whole.
     """
-    hashes, starts = [], []
+    gap = np.ones(len(data) + 2, dtype=bool)
+    gap[1:-1] = _SEPARATOR[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    begin, end = edge[::2], edge[1::2]
+    hashes = np.zeros(len(begin), dtype=np.uint64)
     up, down = _power_tables()
-    for a, b in _segments(data):
-        part = data[a:b]
-        gap = np.concatenate([[True], _SEPARATOR[part], [True]])
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        begin, end = edge[::2], edge[1::2]
+    at = 0
+    while at < len(begin):
+        base = begin[at]
+        to = int(np.searchsorted(end, base + _SEGMENT, "right"))
+        if to == at:
+            hashes[at] = xxhash.xxh64_intdigest(data[base : end[at]].tobytes())
+            at += 1
+            continue
+        part, b, e = data[base : end[to - 1]], begin[at:to] - base, end[at:to] - base
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(_RANDOM[part] * up[: len(part)], out=total[1:])
-        hashes.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
-        starts.append(begin + a)
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        hashes[at:to] = mix((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64))
+        at = to
+    return hashes, begin
 
 
 def shingle_hashes(found: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

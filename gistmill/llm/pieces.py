@@ -18,8 +18,8 @@ seam of two characters that no piece holds side by side, so the lattice falls ap
 and each part is solved once and remembered (at most twice ``remembered`` parts a worker).
 Runs of spaces, whose pieces tie in score, are taken longest first from the left, as ties are.
 
-Decoding is the inverse: pieces spell characters, byte pieces UTF-8 (invalid bytes
-become U+FFFD), U+2581 a space, and the dummy space is dropped.
+Decoding is the inverse: pieces spell characters, byte pieces UTF-8 (each invalid byte
+becomes U+FFFD), U+2581 a space, and the dummy space is dropped.
 
 Only models whose normalisation is ``identity`` and that define no user pieces are taken;
 others raise ValueError.
@@ -323,9 +323,11 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         text = "".join(map(self.spelling.__getitem__, ids))
         if not text.isascii() and _ESCAPED.search(text):
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
+            text = _ESCAPED.sub("\ufffd", text)
         text = text.replace(SPACE, " ")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        first = next((i for i in ids if i not in self.controls), None)
+        return text[1:] if self.dummy and first is not None and self.pieces[first].startswith(SPACE) else text
 
 
 @lru_cache(maxsize=2)
