@@ -13,7 +13,7 @@ from gistmill.llm.perspectives import OP8_SQL, op8_perspectives
 from gistmill.llm.pieces import op6_pieces
 from gistmill.llm.quality import op7_quality
 from gistmill.llm.secrets import op9_secrets
-from gistmill.llm.sharding import op3_sharding
+from gistmill.llm.sharding import OP3_SQL, op3_sharding
 from gistmill.llm.simhash import op1_simhash
 from gistmill.llm.tiff import op4_tiff
 from gistmill.llm.warc import OP5_SQL, op5_warc
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op8_perspectives": OP8_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_sharding": OP3_SQL, "op5_warc": OP5_SQL, "op8_perspectives": OP8_SQL}

@@ -68,3 +68,17 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near equal bytes."""
     return shard_by_bytes(documents(spark, sf_dir))
+
+
+#: CRC-32 is a fold over a text's bytes with a table of 256 remainders, which is made here from the polynomial.
+OP3_SQL = """
+WITH r AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i)),
+crc AS (SELECT list(c ORDER BY i) AS t FROM r),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, n + 1 AS size, list_transform(range(n), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS bytes FROM d),
+x AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS text_crc32 FROM b, crc),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total,
+  row_number() OVER (ORDER BY doc_id, text_crc32, size) AS n FROM x),
+s AS (SELECT *, ((2 * before + size) * 16 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s
+"""

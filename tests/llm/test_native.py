@@ -26,6 +26,12 @@ def test_shards(spark, shards):
     assert len(rows) == len(text)
 
 
+def test_shards_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert sorted(map(tuple, G.op3_sharding(spark, SF).collect())) == sorted(con.sql(G.OP3_SQL).fetchall())
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(None, None, 1), (None, "x", 1), (3, "é", 2), (3, "é", 2), (4, "", 0)] + [(9, "a" * 500_000, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, size long")
