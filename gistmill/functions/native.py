@@ -207,3 +207,13 @@ def machine_kind(text: Column) -> Column:
 def saved_pct(original: Column, sent: Column) -> Column:
     """Saved percent, to one decimal, where something was saved."""
     return F.when(original > sent, F.round(100 * (original - sent) / original, 1)).otherwise(F.lit(0.0))
+
+
+def without_bom(text: Column) -> Column:
+    """without a byte order mark at the start."""
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def ascii_lower(text: Column) -> Column:
+    """F8: lower case of ASCII letters only."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

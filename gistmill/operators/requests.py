@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gistmill import schema as S
 from gistmill.functions import native as N
+from gistmill.functions import registry
 from gistmill.operators import texts
 from gistmill.plans.engine import Engine, explode_blocks, wire_format
 from gistmill.sources import files
@@ -78,6 +79,16 @@ def originals_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.originals(results).select("ref", F.octet_length("text").cast("long").alias("bytes"), (F.sha2("text", 256) == F.col("ref")).alias("resolves"))
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL surface: blocks of bodies by a lateral table function, classified and distilled by name."""
+    registry.register(spark)
+    X.log_bodies(spark, sf_dir).createOrReplaceTempView("gm_bodies")
+    return spark.sql(
+        "SELECT request_id, wire_format(body) AS format, turn, role, classify_block(text) AS kind, d.pass AS pass, d.changed AS changed, octet_length(d.out) AS bytes "
+        "FROM (SELECT request_id, body, b.turn, b.role, b.text, distill_block(b.text, 'gpt') AS d FROM gm_bodies, LATERAL explode_blocks(body) b)"
+    )
+
+
 def body_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations hold no machine output, so the engine returns them byte for byte."""
     made = X.bodies(spark, sf_dir)
@@ -145,6 +156,6 @@ def savings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (wire_detect, explode_messages, user_wrapper_extract, request_results, originals_of_results, body_roundtrip, shared_plan, request_log_report, eval_gate, savings_rollup)
+    for f in (wire_detect, explode_messages, user_wrapper_extract, request_results, originals_of_results, sql_functions, body_roundtrip, shared_plan, request_log_report, eval_gate, savings_rollup)
 }
 SQL = {"wire_detect": WIRE_SQL, "explode_messages": EXPLODE_SQL, "user_wrapper_extract": WRAPPER_SQL, "body_roundtrip": ROUNDTRIP_SQL, "eval_gate": EVAL_SQL}

@@ -119,9 +119,15 @@ class Engine:
         return _map_text(requests, id_col, body_col, _REPORT_DDL, _REPORT, lambda body: [B.apply(body, limits, tag)])
 
     def originals(self, results: DataFrame) -> DataFrame:
-        """ref and text of everything that was replaced, each text once."""
+        """ref and text of everything that was replaced, each ref once.
+
+        A text with escape sequences or carriage returns is kept under the ref of its cleaned form too, since that is what an elision
+        marker names.
+        """
+        text = F.col("text")
+        refs = F.array_distinct(F.array(F.sha2(text, 256), F.sha2(N.clean_returns(N.strip_ansi(text)), 256)))
         texts = results.select(F.explode("decisions").alias("d")).select(F.col("d.text").alias("text"))
-        return texts.select(F.sha2("text", 256).alias("ref"), "text").dropDuplicates(["ref"])
+        return texts.select(F.explode(refs).alias("ref"), "text").dropDuplicates(["ref"])
 
     def decide(self, blocks: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
         """(family, is_user, content_sha, out, pass) of each distinct text; those in ``decisions`` are taken from it."""

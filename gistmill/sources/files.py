@@ -21,8 +21,9 @@ def read_originals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def put_originals(texts: DataFrame, existing: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """Ref and text of texts that ``existing`` does not have, each once."""
-    fresh = texts.select(F.sha2(F.col(text_col), 256).alias("ref"), F.col(text_col).alias("text")).filter("text is not null").dropDuplicates(["ref"])
+    """Ref and text of texts that ``existing`` does not have, each once; a column ``ref`` is taken as it is."""
+    ref = F.col("ref") if "ref" in texts.columns else F.sha2(F.col(text_col), 256)
+    fresh = texts.select(ref.alias("ref"), F.col(text_col).alias("text")).filter("text is not null").dropDuplicates(["ref"])
     return fresh if existing is None else fresh.join(existing.select("ref"), "ref", "left_anti")
 
 

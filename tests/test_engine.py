@@ -119,3 +119,35 @@ def test_engine_stream(spark, requests, tmp_path):
     query = turns.distil_stream(stream, Engine(spark), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == requests.count()
+
+
+def test_markers_resolve(spark):
+    """Every ref in a marker of a distilled body finds the text that stood there."""
+    import re
+
+    dirty = log(600).replace("ERROR", "\x1b[31mERROR\x1b[0m").replace("\n", "\r\n")
+    made = spark.createDataFrame([(1, chat(("tool", dirty), ("tool", log(500)), ("assistant", "a"), ("tool", log(500))))], "request_id long, body string")
+    engine = Engine(spark)
+    results = engine.apply(made).cache()
+    refs = re.findall(r"(?:locally as|ref) ([0-9a-f]{12})", results.first()["body"])
+    asked = spark.createDataFrame([(r,) for r in set(refs)], "prefix string")
+    found = {r.text for r in files.resolve(asked, engine.originals(results)).collect()}
+    assert len(refs) == 3 and found == {dirty, log(500)}
+
+
+def test_sql_functions(spark):
+    from gistmill.functions import registry
+
+    registry.register(spark)
+    spark.createDataFrame([(1, chat(("tool", log(600)), ("user", "é hello"))), (2, "{oops"), (3, None)], "id long, body string").createOrReplaceTempView("t")
+    got = spark.sql("SELECT id, b.*, substring(encode(body, 'utf-8'), b.byte_start + 1, b.byte_len) AS raw FROM t, LATERAL explode_blocks(body) b").collect()
+    assert [(r.id, r.turn, r.role, json.loads(bytes(r.raw))) for r in got] == [(1, 1, "tool", log(600)), (1, 2, "user", "é hello")]
+    rows = spark.sql("SELECT id, wire_format(body) AS f, classify_block(body) AS k, distill_block(body, 'none').changed AS c FROM t ORDER BY id").collect()
+    assert [r.f for r in rows] == ["openai_chat", "unknown", "unknown"] and rows[2].k is None and not rows[2].c
+
+
+def test_small_functions(spark):
+    from gistmill.functions import native
+
+    row = spark.createDataFrame([("\ufeffÉABC",)], "t string").select(native.without_bom(F.col("t")).alias("a"), native.ascii_lower(F.col("t")).alias("b")).first()
+    assert tuple(row) == ("ÉABC", "\ufeffÉabc")
