@@ -66,10 +66,30 @@ def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "format", "family", "original_bytes", "sent_bytes", "saved_bytes", "blocks", "memo_hits", "skipped", "error")
 
 
-def _expected(family_of_user: str) -> str:
-    """What the engine must make of log bodies: block 2 elided, block 3 a reference (from 512 bytes), the quotation elided."""
-    return f"""WITH {X.LOGS}, {texts._elided_sql(f"SELECT user_id, {family_of_user} AS family, blob FROM logs")},
-j AS (SELECT *, to_json(blob)::VARCHAR AS raw, to_json(out)::VARCHAR AS short, strlen(blob) AS n FROM elided)"""
+def _body_sql(first: str, second: str, quoted: str) -> str:
+    return f"""'{{"model":"' || model || '","messages":[{{"role":"user","content":"go"}},{{"role":"tool","content":' || {first} || '}},{{"role":"tool","content":' || {second} || '}},{{"role":"user","content":"' || {quoted} || '"}}]}}'"""
+
+
+#: What the engine must make of the log bodies: the first reading elided, the second a reference to it (from 512 bytes), the quotation elided.
+EXPECTED = f"""WITH {X.LOGS}, q AS (SELECT user_id, blob, list_extract({X.MODELS}, (user_id % {len(X.MODELS)} + 1)::INT) AS model FROM logs),
+{texts._elided_sql(f"SELECT user_id, {texts.FAMILY_SQL} AS family, blob FROM q")},
+j AS (SELECT e.user_id, model, family, e.blob, out, to_json(e.blob)::VARCHAR AS a, to_json(out)::VARCHAR AS b,
+  CASE WHEN strlen(e.blob) >= 512 THEN '[... {S.TAG}: identical to the copy in turn 2 above (' || strlen(e.blob) || ' bytes) · ref ' || left(sha256(e.blob), 12) || ' ...]' ELSE out END AS again FROM elided e JOIN q USING (user_id)),
+k AS (SELECT *, {_body_sql("a", "a", "'see <tool_output>' || a[2:-2] || '</tool_output> above'")} AS before,
+  {_body_sql("b", "to_json(again)::VARCHAR", "CASE WHEN out = blob THEN 'see <tool_output>' || a[2:-2] || '</tool_output> above' ELSE 'see ' || chr(92) || 'u003ctool_output' || chr(92) || 'u003e' || b[2:-2] || chr(92) || 'u003c/tool_output' || chr(92) || 'u003e above' END")} AS after,
+  2 * (out <> blob)::INT + (again <> blob)::INT AS blocks FROM j)"""
+RESULTS_SQL = f"""{EXPECTED} SELECT user_id AS request_id, 'openai_chat' AS format, family, strlen(before) AS original_bytes, strlen(after) AS sent_bytes, strlen(before) - strlen(after) AS saved_bytes,
+  blocks::BIGINT AS blocks, CASE WHEN strlen(blob) < 512 AND out <> blob THEN 1 ELSE 0 END::BIGINT AS memo_hits, false AS skipped, NULL::VARCHAR AS error FROM k"""
+SHARED_SQL = f"{EXPECTED} SELECT user_id AS request_id, blocks::BIGINT AS blocks, sha256(after) AS body_sha FROM k"
+_QUOTED = "'see <tool_output>' || blob || '</tool_output> above'"
+ORIGINALS_SQL = f"""{EXPECTED}, t AS (SELECT blob AS text FROM k WHERE again <> blob OR out <> blob UNION SELECT {_QUOTED} FROM k WHERE out <> blob)
+SELECT DISTINCT sha256(text) AS ref, strlen(text) AS bytes, true AS resolves FROM t"""
+_PASSES = f"""SELECT family, 'elide' AS pass, strlen(blob) - strlen(out) AS saved FROM k WHERE out <> blob UNION ALL SELECT family, CASE WHEN strlen(blob) >= 512 THEN 'repeat' ELSE 'elide' END, strlen(blob) - strlen(again) FROM k WHERE again <> blob
+  UNION ALL SELECT family, 'user', strlen(blob) - strlen(out) FROM k WHERE out <> blob"""
+ROLLUP_SQL = f"{EXPECTED}, d AS ({_PASSES}) SELECT family, pass, count(*) AS blocks, sum(saved)::BIGINT AS saved_bytes FROM d GROUP BY ROLLUP (family, pass)"
+SQL_FUNCTIONS_SQL = f"""WITH {X.LOGS}, {texts._elided_sql("SELECT user_id, 'gpt' AS family, blob FROM logs")},
+b AS (SELECT user_id, unnest([{{'turn': 1, 'role': 'user', 'out': 'go'}}, {{'turn': 2, 'role': 'tool', 'out': out}}, {{'turn': 3, 'role': 'tool', 'out': out}}]) AS m FROM elided)
+SELECT user_id AS request_id, 'openai_chat' AS format, m.turn AS turn, m.role AS role, CASE WHEN m.turn = 1 THEN 'prose' ELSE 'log_output' END AS kind, sha256(m.out) AS out_sha FROM b"""
 
 
 def originals_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +104,8 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry.register(spark)
     X.log_bodies(spark, sf_dir).createOrReplaceTempView("gm_bodies")
     return spark.sql(
-        "SELECT request_id, wire_format(body) AS format, turn, role, classify_block(text) AS kind, d.pass AS pass, d.changed AS changed, octet_length(d.out) AS bytes "
-        "FROM (SELECT request_id, body, b.turn, b.role, b.text, distill_block(b.text, 'gpt') AS d FROM gm_bodies, LATERAL explode_blocks(body) b)"
+        "SELECT request_id, wire_format(body) AS format, b.turn, b.role, classify_block(b.text) AS kind, sha2(distill_block(b.text, 'gpt').out, 256) AS out_sha "
+        "FROM gm_bodies, LATERAL explode_blocks(body) b WHERE b.turn < 4"
     )
 
 
@@ -96,12 +116,11 @@ def body_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+ROUNDTRIP_BODY = f"""SELECT conv_id, model, '{{"model":"' || model || '","messages":[' || items || ']}}' AS body FROM (SELECT conv_id, list_extract({X.MODELS}, (conv_id % {len(X.MODELS)} + 1)::INT) AS model,
+  string_agg('{{"role":' || to_json(CASE role WHEN 'assistant' THEN 'tool' ELSE role END)::VARCHAR || ',"content":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY turn) AS items FROM conversations GROUP BY conv_id)"""
 ROUNDTRIP_SQL = f"""
-WITH m AS (SELECT conv_id, list_extract({X.MODELS}, (conv_id % 5 + 1)::INT) AS model, string_agg('{{"role":' || to_json(CASE role WHEN 'assistant' THEN 'tool' ELSE role END)::VARCHAR
-  || ',"content":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY turn) AS items FROM conversations GROUP BY conv_id),
-b AS (SELECT conv_id, model, '{{"model":"' || model || '","messages":[' || items || ']}}' AS body FROM m)
 SELECT conv_id AS request_id, 'openai_chat' AS format, CASE WHEN strlen(body) < 256 OR NOT (contains(body, 'tool') OR contains(body, '```') OR contains(body, 'diff --git')) THEN '' ELSE {texts.FAMILY_SQL} END AS family,
-  0::BIGINT AS blocks, sha256(body) AS body_sha FROM b"""
+  0::BIGINT AS blocks, sha256(body) AS body_sha FROM ({ROUNDTRIP_BODY})"""
 
 
 def shared_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +136,11 @@ def request_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("format").agg(F.count("*").alias("requests"), F.sum("original_bytes").alias("original_bytes"), F.sum(F.col("blocks").cast("long")).alias("blocks"), F.count_if(F.col("saved_pct") > 0).alias("saved_requests"))
 
 
+REPORT_SQL = f"""{EXPECTED}, z AS (SELECT strlen(before) AS n, blocks, round(100.0::DOUBLE * (strlen(before) - strlen(after)) / strlen(before), 1) > 0 AS saved FROM k
+  UNION ALL SELECT n, 0, false FROM (SELECT strlen(body) AS n FROM ({ROUNDTRIP_BODY})))
+SELECT 'openai_chat' AS format, count(*) AS requests, sum(n)::BIGINT AS original_bytes, sum(blocks)::BIGINT AS blocks, count(*) FILTER (saved) AS saved_requests FROM z"""
+
+
 def eval_cases(spark: SparkSession) -> DataFrame:
     """Three fixtures with facts that must stay and floors of saving: name, model, original, must_keep, min_pct."""
     suite = ["$ run suite --all"]
@@ -158,4 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (wire_detect, explode_messages, user_wrapper_extract, request_results, originals_of_results, sql_functions, body_roundtrip, shared_plan, request_log_report, eval_gate, savings_rollup)
 }
-SQL = {"wire_detect": WIRE_SQL, "explode_messages": EXPLODE_SQL, "user_wrapper_extract": WRAPPER_SQL, "body_roundtrip": ROUNDTRIP_SQL, "eval_gate": EVAL_SQL}
+SQL = {
+    "wire_detect": WIRE_SQL, "explode_messages": EXPLODE_SQL, "user_wrapper_extract": WRAPPER_SQL, "body_roundtrip": ROUNDTRIP_SQL, "eval_gate": EVAL_SQL,
+    "request_results": RESULTS_SQL, "shared_plan": SHARED_SQL, "originals_of_results": ORIGINALS_SQL, "savings_rollup": ROLLUP_SQL, "sql_functions": SQL_FUNCTIONS_SQL, "request_log_report": REPORT_SQL,
+}

@@ -123,6 +123,21 @@ def classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.classified(docs.unionByName(logs).unionByName(arrays), "id", "text")
 
 
+_STARTS_WITH = lambda words: _sql("^" + N.any_of(words))
+CLASSIFY_ALL_SQL = f"""
+WITH {X.LOGS}, arrays AS (SELECT user_id, '[' || string_agg('{{"event_id":' || event_id || ',"type":"' || event_type || '","k":' || regexp_extract(props, '([0-9]+)', 1) || ',"source":"web"}}', ',' ORDER BY event_id) || ']' AS doc FROM events GROUP BY user_id),
+u AS (SELECT 'doc-' || doc_id AS id, text FROM documents UNION ALL SELECT 'log-' || user_id, blob FROM logs UNION ALL SELECT 'json-' || user_id, doc FROM arrays),
+l AS (SELECT id, text, string_split(text, chr(10)) AS raw, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l, string_split(left(text, 8192), chr(10)) AS head FROM u),
+o AS (SELECT *, list_position(list_transform(head, lambda x: regexp_matches(x, '{_STARTS_WITH(S.CODE_OPENERS)}')), true) AS opener FROM l),
+t AS (SELECT *, opener IS NOT NULL AND len(list_filter(head[1 : opener - 1], lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '{_STARTS_WITH(S.COMMENT_STARTS)}'))) < 12
+   AND len(list_filter(l, lambda x: regexp_matches(x, '{_STARTS_WITH(S.CODE_STARTS)}'))) >= 2 AS code,
+  {_count_sql('text', S.TEST_TOKENS)} + len(list_filter(l, lambda x: regexp_matches(x, '{_STARTS}')))
+   + len(list_filter(l, lambda x: regexp_matches(x, '{N.DIAGNOSTIC}') AND NOT regexp_matches(x, '{N.TIME_PREFIX}') AND NOT regexp_matches(x, '{N.ALL_DIGITS}'))) AS test_score,
+  least(3, len(list_filter(raw, lambda x: strlen(x) > 20 AND (regexp_matches(x, '^.{{4}}-..-') OR regexp_matches(x, '^..:..:'))))) AS dated FROM o)
+SELECT id, CASE WHEN regexp_matches(left(text, 8192), '^\\s*([{{\\[])') AND json_valid(left(text, 8192)) THEN 'json' WHEN code THEN 'code' WHEN test_score >= 3 THEN 'test_output'
+  WHEN {_count_sql('text', S.LOG_LEVELS)} + dated >= 3 AND (dated >= 3 OR regexp_matches(left(text, 8192), '\\[|level=|lvl=')) THEN 'log_output' ELSE 'prose' END AS kind FROM t"""
+
+
 _FOLD = f"""list_reduce(list_prepend({{'kept': []::VARCHAR[], 'context': 0, 'dropped': 0, 'line': ''}},
     list_transform(middle, lambda x: {{'kept': []::VARCHAR[], 'context': 0, 'dropped': 0, 'line': x}})),
   lambda s, x: {{
@@ -293,6 +308,9 @@ def document_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pass", F.octet_length("out").cast("long").alias("out_bytes"))
 
 
+DOCUMENT_CASCADE_SQL = f"""SELECT doc_id, CASE WHEN b >= 64 AND folded_bytes < b * 9 // 10 THEN 'terminal' ELSE 'none' END AS pass,
+  CASE WHEN b >= 64 AND folded_bytes < b * 9 // 10 THEN folded_bytes ELSE b END AS out_bytes FROM ({FOLD_SQL}) JOIN (SELECT doc_id, strlen(text) AS b FROM documents) USING (doc_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -304,4 +322,5 @@ SQL = {
     "family_detect": FAMILY_DETECT_SQL, "block_bounds": BLOCK_BOUNDS_SQL, "fast_bailout": FAST_BAILOUT_SQL, "line_stats": LINE_STATS_SQL, "mustkeep_lines": MUSTKEEP_SQL, "diagnostic_lines": DIAGNOSTIC_SQL,
     "classify_log": CLASSIFY_LOG_SQL, "elide_headtail": ELIDE_SQL, "elide_savings": ELIDE_SAVINGS_SQL, "savings_by_family": SAVINGS_BY_FAMILY_SQL, "savings_percentiles": SAVINGS_PERCENTILES_SQL,
     "strip_ansi": STRIP_ANSI_SQL, "clean_returns": CLEAN_RETURNS_SQL, "fold_repeats": FOLD_SQL, "lockfile_paths": LOCKFILE_SQL, "gate_flags": GATE_SQL, "prunable_feature": PRUNABLE_SQL, "block_cascade": CASCADE_SQL,
+    "classify_all": CLASSIFY_ALL_SQL, "document_cascade": DOCUMENT_CASCADE_SQL,
 }
