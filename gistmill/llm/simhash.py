@@ -39,7 +39,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.common import delete, documents, id_and_text, small_batches, stored, texts
@@ -162,23 +162,27 @@ def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radi
     """
     masks = covering_masks(radius)
     columns = ["gm_node", *keys, *(more or [])]
-    cell: Column = F.posexplode(F.array(*[F.col(k).bitwiseAND(F.lit(m)) for k in keys for m in masks]))
-    cells = nodes.select(*columns, cell.alias("gm_table", "gm_key"))
-    crowded = nodes.select(cell.alias("gm_table", "gm_key")).groupBy("gm_table", "gm_key").agg(F.count("*").alias("gm_n")).filter("gm_n > 1")
-    met = cells.join(crowded, ["gm_table", "gm_key"])
+    # A cell is named by the hash of its table and masked word; should two names meet, their nodes are compared in vain.
+    names = [F.xxhash64(F.lit(t), F.col(k).bitwiseAND(F.lit(m))) for t, (k, m) in enumerate((k, m) for k in keys for m in masks)]
+    cells = nodes.select("gm_node", F.explode(F.array(*names)).alias("gm_cell"))
+    crowded = cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n")).filter("gm_n > 1")
+    met = cells.join(crowded, "gm_cell")
     parts = F.ceil(F.col("gm_n") / F.lit(block)).cast("int")
     met = met.withColumn("gm_parts", parts).withColumn("gm_part", F.pmod(F.xxhash64("gm_node"), F.col("gm_parts")).cast("int"))
     met = met.withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_parts") - 1)))
+    if columns != ["gm_node", "gm_node"]:  # what is compared joins only the rows of crowded cells
+        met = met.join(nodes.select(*dict.fromkeys(columns)), "gm_node")
     i, j = F.least("gm_part", "gm_other"), F.greatest("gm_part", "gm_other")
-    met = met.select("gm_table", "gm_key", "gm_part", F.struct(*columns).alias("gm_row"), i.alias("gm_i"), j.alias("gm_j"))
+    row = F.struct(*[F.col(c).alias(f"c{n}") for n, c in enumerate(columns)])
+    met = met.select("gm_cell", "gm_part", row.alias("gm_row"), i.alias("gm_i"), j.alias("gm_j"))
     here = lambda test: F.collect_list(F.when(test, F.col("gm_row")))
-    groups = met.groupBy("gm_table", "gm_key", "gm_i", "gm_j").agg(
+    groups = met.groupBy("gm_cell", "gm_i", "gm_j").agg(
         here(F.col("gm_part") == F.col("gm_i")).alias("gm_left"), here((F.col("gm_part") == F.col("gm_j")) & (F.col("gm_i") != F.col("gm_j"))).alias("gm_right")
     )
 
     def matrix(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
         rows = column.flatten()
-        return np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in range(len(columns))], axis=1).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        return np.stack([rows.field(f"c{c}").to_numpy(zero_copy_only=False) for c in range(len(columns))], axis=1).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +252,7 @@ def simhash_groups(
     """
     prints, _ = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
     nodes = prints.groupBy(F.col("gm_fp").alias("gm_node")).agg(F.min("gm_id").alias("gm_least"))
-    known = _grouped(nodes, links(nodes.select("gm_node", F.col("gm_node").alias("gm_fp")), ["gm_fp"], radius=radius, block=block))
+    known = _grouped(nodes, links(nodes.select("gm_node"), ["gm_node"], radius=radius, block=block))
     return prints.join(known, F.col("gm_fp") == F.col("gm_node")).select(
         F.col("gm_id").alias(id_col), F.lower(F.lpad(F.hex("gm_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
