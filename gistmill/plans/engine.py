@@ -18,7 +18,7 @@ from gistmill import schema as S
 from gistmill.functions import bodies as B
 from gistmill.functions import exact as E
 from gistmill.functions import native as N
-from gistmill.plans.tables import stored
+from gistmill.plans.tables import small_batches, stored
 
 _REPORT = {
     "format": pa.string(), "family": pa.string(), "original_bytes": pa.int64(), "sent_bytes": pa.int64(), "saved_bytes": pa.int64(), "blocks": pa.int64(),
@@ -34,6 +34,7 @@ _BLOCK_DDL = "format string, model string, turn int, block_ix int, item_ix int,
 
 def _map_text(df: DataFrame, id_col: str, text_col: str, ddl: str, types: dict[str, pa.DataType], rows) -> DataFrame:
     """For each (id, text) of ``df``, the dicts that ``rows(text)`` gives, in batches."""
+    small_batches(df.sparkSession)
     narrow = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("gm_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
