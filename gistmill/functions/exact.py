@@ -11,6 +11,8 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from gistmill import schema as S
 
@@ -426,6 +428,23 @@ def distill_diff(text: str, tag: str = S.TAG) -> str | None:
 # ---------------------------------------------------------------- T1-T3: elision
 
 
+_FAILURE_BYTES = [p.encode() for p in S.FAILURES if not any(q != p and q in p for q in S.FAILURES)]
+
+
+def failing(lines: list[str]) -> set[int]:
+    """Indexes of failure lines: each pattern is looked for in all lines at once, then from the next line on."""
+    raw = "\n".join(lines).encode("utf-8", "surrogatepass").upper()
+    ends = list(accumulate(len(part) + 1 for part in raw.split(b"\n")))
+    found = set()
+    for pattern in _FAILURE_BYTES:
+        at = raw.find(pattern)
+        while at >= 0:
+            line = bisect_right(ends, at)
+            found.add(line)
+            at = raw.find(pattern, ends[line])
+    return found
+
+
 def elide(text: str, family: str, tag: str = S.TAG) -> str | None:
     p = S.FAMILIES[family]
     lines = text.split("\n")
@@ -433,19 +452,15 @@ def elide(text: str, family: str, tag: str = S.TAG) -> str | None:
         return None
     middle = lines[p.head : len(lines) - p.tail]
     kept: list[str] = []
-    context = dropped = 0
-    for line in middle:
-        room = len(kept) < p.max_kept
-        if context:
-            context -= 1
-            if room:
-                kept.append(line)
-        elif must_keep(line):
-            if room:
-                kept.append(line)
-                context = p.context_after
-            else:
-                dropped += 1
+    dropped, after = 0, 0
+    for i in sorted(failing(middle)):
+        if i < after:  # context of the failure before, kept or over the cap with it
+            continue
+        if len(kept) < p.max_kept:
+            after = i + 1 + p.context_after
+            kept += middle[i:after][: p.max_kept - len(kept)]
+        else:
+            dropped += 1
     note = f"· {dropped} more failure lines over cap={p.max_kept}, see local copy " if dropped else ""
     marker = f"[... {tag}: {len(middle) - len(kept)} middle lines elided · full text kept locally as {ref(text)} {note}...]"
     out = "\n".join([*lines[: p.head], marker, *kept, *lines[len(lines) - p.tail :]])
@@ -514,33 +529,45 @@ def classify(text: str) -> str:
 # ---------------------------------------------------------------- P15, P16, T12, T13: the cascade
 
 
-def gate(text: str, fold_ungated: bool = False) -> bool:
-    """Whether any pass could change the text."""
-    if bracketed(text):
-        bare = text.strip(SPACES)
-        if is_prunable(bare):
-            return True
-        try:
-            if liftable(parse(bare)) is not None:
-                return True
-        except ValueError:
-            pass
-    if is_diff(text) or "\x1b" in text or "\r" in text:
+MACHINE = ("test_output", "log_output")
+
+
+def has_structure(text: str) -> bool:
+    """The part of the gate that does not classify: JSON that could change, a diff, escape sequences or carriage returns."""
+    if "\x1b" in text or "\r" in text or is_diff(text):
+        return True
+    if not bracketed(text):
+        return False
+    bare = text.strip(SPACES)
+    if is_prunable(bare):
         return True
-    return fold_ungated or classify(text) in ("test_output", "log_output")
+    try:
+        return liftable(parse(bare)) is not None
+    except ValueError:
+        return False
+
+
+def gate(text: str) -> bool:
+    """Whether any pass could change the text."""
+    return has_structure(text) or classify(text) in MACHINE
 
 
 def distill(text: str, family: str, limits: S.Limits = S.Limits(), tag: str = S.TAG, fold_ungated: bool = False) -> tuple[str, str]:
     """(result, pass) of one block; the text itself and ``none`` where no pass applies."""
     n = size(text)
-    if n < limits.block_floor or (limits.max_block and n > limits.max_block) or not gate(text, fold_ungated):
+    if n < limits.block_floor or (limits.max_block and n > limits.max_block):
         return text, "none"
+    kind = None
+    if not has_structure(text):
+        kind = classify(text)
+        if kind not in MACHINE and not fold_ungated:
+            return text, "none"
     if (out := distill_diff(text, tag)) is not None:
         return out, "diff"
     if bracketed(text) and (found := distill_json(text, tag)):
         return found[1], found[0]
-    kind = classify(text)
-    if kind in ("test_output", "log_output"):
+    kind = kind or classify(text)
+    if kind in MACHINE:
         out = elide(clean_returns(strip_ansi(text)), family, tag)
         return (out, "elide") if out is not None else (text, "none")
     if kind != "code" and size(out := sanitize(text)) < n * 9 // 10:
