@@ -11,22 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.plans.tables import delete, new_path, shared_dir, stored
+from gistmill.plans.tables import delete, new_path, shared_dir, small_batches, stored
 
 __all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "shared_dir", "small_batches", "stored", "texts"]
 
-#: Rows and bytes of one Arrow batch that is handed to Python.  Long texts make
-#: large batches, so both are bounded.
-BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session, so that long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 bytes of every text, the empty string for null."""
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:

@@ -214,6 +214,16 @@ class Index:
         return out
 
 
+_last: list = []
+
+
+def _index(block: list[tuple], width: int, threshold: float) -> Index:
+    """The index of a block, compiled once for the tasks that a worker runs one after another."""
+    if not _last or _last[0] is not block or _last[1:3] != [width, threshold]:
+        _last[:] = [block, width, threshold, Index(block, width, threshold)]
+    return _last[3]
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The items in blocks whose text takes at most about ``block_bytes``, one after another."""
     rows = id_and_text(items, id_col, text_col).filter("gm_text is not null")
@@ -238,7 +248,7 @@ def leaks(
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, width, threshold)
+            index = _index(held.value, width, threshold)
             for batch in batches:
                 hits = index.match(batch.column(1))
                 yield pa.RecordBatch.from_arrays(
@@ -264,7 +274,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, width, threshold)
+            index = _index(held.value, width, threshold)
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[h[0] for h in index.match(batch.column(place))]] = False

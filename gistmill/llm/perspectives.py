@@ -45,7 +45,7 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     rows = rows.withColumn("role", role).withColumn("gm_head", F.length(head).cast("long")).withColumn("segment", F.concat(head, body, F.lit("\n")))
     rows = rows.drop("gm_text").withColumn("gm_size", F.length("segment").cast("long"))
     order = ["conv_id", "perspective", "turn", "speaker", "segment"]
-    known = placed(rows, order, ["gm_size"], ["conv_id", "perspective"])
+    known, _ = placed(rows, order, ["gm_size"], ["conv_id", "perspective"])
     start = F.col("gm_size_before")
     mine = F.col("role") == "assistant"
     return known.select(

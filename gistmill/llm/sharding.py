@@ -21,19 +21,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import documents, stored
+from gistmill.llm.common import delete, documents, stored
 
 
-def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str] | None = None) -> DataFrame:
+def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str] | None = None) -> tuple[DataFrame, str]:
     """``df`` with, for each column c of ``sizes``, c_before: its sum over all earlier rows in ``order``.
 
     With ``within`` (leading columns of ``order``), sums restart for each of its values.
-    A helper table holds a row for each partition (and value of ``within`` in it).
+    A helper table holds a row for each partition (and value of ``within`` in it).  The path of
+    the table that the result reads is returned too.
     """
     spark = df.sparkSession
     within = within or []
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, _ = stored(df.repartitionByRange(parts, *order).withColumn("gm_part", F.spark_partition_id()), "ranges")
+    dealt, path = stored(df.repartitionByRange(parts, *order).withColumn("gm_part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy(*within, "gm_part").agg(*[F.sum(c).alias(f"{c}_sum") for c in sizes])
     before = Window.partitionBy(*within).orderBy("gm_part").rowsBetween(Window.unboundedPreceding, -1)
     if within:
@@ -45,7 +46,7 @@ def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str]
     keys = [*within, "gm_part"]
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     rows = rows.alias("r").join(offsets.alias("o"), same, "left")
-    return rows.select(*[F.col(f"r.{c}") for c in df.columns], *[(F.col(f"{c}_inside") + F.coalesce(F.col(f"{c}_offset"), F.lit(0))).alias(f"{c}_before") for c in sizes])
+    return rows.select(*[F.col(f"r.{c}") for c in df.columns], *[(F.col(f"{c}_inside") + F.coalesce(F.col(f"{c}_offset"), F.lit(0))).alias(f"{c}_before") for c in sizes]), path
 
 
 def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
@@ -55,7 +56,9 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(f"`{id_col}`").alias("gm_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("gm_one"),
     )
-    known, _ = stored(placed(rows, ["gm_id", "text_crc32", "size"], ["size", "gm_one"]), "places")
+    ranged, path = placed(rows, ["gm_id", "text_crc32", "size"], ["size", "gm_one"])
+    known, _ = stored(ranged, "places")
+    delete(df.sparkSession, path)
     total = known.agg(F.sum("size")).first()[0] or 1
     cut = known.withColumn("shard", F.expr(f"cast((2 * size_before + size) * {int(shards)}L div {2 * total}L as int)"))
     first = cut.groupBy("shard").agg(F.min("gm_one_before").alias("gm_first"))

@@ -154,8 +154,8 @@ def _near(a: np.ndarray, b: np.ndarray, keys: int, radius: int, confirm: int | N
     return near
 
 
-def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radius: int = 4, confirm: int | None = None, block: int = 512) -> DataFrame:
-    """Edges (a, b) between the longs ``gm_node``, enough to connect all that are linked.
+def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radius: int = 4, confirm: int | None = None, block: int = 512) -> tuple[DataFrame, str]:
+    """Edges (a, b) between the longs ``gm_node``, enough to connect all that are linked, and the path of a table they read.
 
     Two nodes are linked if they lie within ``radius`` bits in one of the columns ``keys`` and, with
     ``confirm``, within that many bits in the columns ``more`` together.
@@ -164,8 +164,10 @@ def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radi
     columns = ["gm_node", *keys, *(more or [])]
     # A cell is named by the hash of its table and masked word; should two names meet, their nodes are compared in vain.
     names = [F.xxhash64(F.lit(t), F.col(k).bitwiseAND(F.lit(m))) for t, (k, m) in enumerate((k, m) for k in keys for m in masks)]
-    cells = nodes.select("gm_node", F.explode(F.array(*names)).alias("gm_cell"))
-    crowded = cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n")).filter("gm_n > 1")
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
+    cells = spread.select("gm_node", F.explode(F.array(*names)).alias("gm_cell"))
+    # stored, so that both sides of the join are plain exchanges, which Spark splits where a cell is hot
+    crowded, path = stored(cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n")).filter("gm_n > 1"), "crowded")
     met = cells.join(crowded, "gm_cell")
     parts = F.ceil(F.col("gm_n") / F.lit(block)).cast("int")
     met = met.withColumn("gm_parts", parts).withColumn("gm_part", F.pmod(F.xxhash64("gm_node"), F.col("gm_parts")).cast("int"))
@@ -203,7 +205,12 @@ def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radi
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     found = groups.select("gm_i", "gm_j", "gm_left", "gm_right").mapInArrow(work, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path
+
+
+def _few(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` for narrow rows that are few beside the documents: an eighth of the shuffle's partitions, so fewer files."""
+    return stored(df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -214,17 +221,19 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     tables that the result still reads are returned for clean-up.
     """
     spark = edges.sparkSession
-    now, path = stored(edges, "edges")
+    now, path = _few(edges, "edges")
     before: tuple = ()
     while True:
+        # the least neighbours are stored too: a join of plain exchanges is split where a node has very many neighbours
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least, one = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, two = _few(large, "large")
+        least, three = _few(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"), F.col("m").alias("a"))
         step = small.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh, fresh_path = stored(step, "edges")
-        delete(spark, path)
+        fresh, fresh_path = _few(step, "edges")
+        delete(spark, path, one, two, three)
         now, path = fresh, fresh_path
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(sums) == before:
@@ -232,13 +241,13 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         before = tuple(sums)
 
 
-def _grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _grouped(nodes: DataFrame, edges: tuple[DataFrame, str]) -> DataFrame:
     """gm_node and component_id, the least gm_least of its component, as a stored table."""
-    roots, used = components(edges)
+    roots, used = components(edges[0])
     placed = nodes.join(roots, F.col("gm_node") == F.col("node"), "left").select("gm_node", "gm_least", F.coalesce("root", "gm_node").alias("gm_root"))
-    least = placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id"))
+    least, path = _few(placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")), "least")
     known, _ = stored(placed.join(least, "gm_root").select("gm_node", "component_id"), "components")
-    delete(nodes.sparkSession, *used)
+    delete(nodes.sparkSession, path, edges[1], *used)
     return known
 
 
@@ -285,8 +294,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     words = ["gm_w1", "gm_w2", "gm_s1", "gm_s2"]
     prints, _ = stored(sketches(df, id_col, text_col).withColumn("gm_node", F.xxhash64(*words)), "sketches")
-    nodes, _ = stored(prints.groupBy("gm_node", *words).agg(F.min("gm_id").alias("gm_least")), "nodes")
+    nodes, path = stored(prints.groupBy("gm_node", *words).agg(F.min("gm_id").alias("gm_least")), "nodes")
     known = _grouped(nodes.select("gm_node", "gm_least"), links(nodes, words[:2], words[2:], radius, confirm, block))
+    delete(df.sparkSession, path)
     return prints.join(known, "gm_node").select("gm_id", "gm_text_hash", "component_id")
 
 

@@ -47,7 +47,7 @@ def test_prefix_sums_within_groups(spark):
     """One group of most rows is spread over partitions and still sums up in order."""
     rows = [(1 if i % 10 else i, i, i % 7) for i in range(3000)] + [(None, i, 5) for i in range(50)]
     df = spark.createDataFrame(rows, "g long, i long, n long").repartition(5)
-    got = {(r.g, r.i): r.n_before for r in G.placed(df, ["g", "i"], ["n"], ["g"]).collect()}
+    got = {(r.g, r.i): r.n_before for r in G.placed(df, ["g", "i"], ["n"], ["g"])[0].collect()}
     sums: dict = {}
     for g, i, n in sorted(rows, key=lambda r: r[1]):
         assert got[(g, i)] == sums.get(g, 0)
