@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill import schema as S
@@ -135,15 +135,10 @@ def fold_repeats(text: Column) -> Column:
     return F.when(F.size(lines) <= S.FOLD_RUN, text).otherwise(F.array_join(F.aggregate(lines, blank, step, flush), "\n"))
 
 
-def elided(text: Column, family_name: Column, tag: str = S.TAG) -> Column:
-    """Head, marker, rescued failure lines with context, tail; the text itself where elision does not apply.
-
-    The middle is folded with (kept lines, lines of context still to keep, failures over the cap).
-    """
+def _rescued(lines: Column, family_name: Column) -> Column:
+    """The middle lines folded to (kept lines, lines of context still to keep, failures over the cap)."""
     value = lambda field: family_value(family_name, field)
-    lines = F.split(text, "\n")
-    head, tail = value("head"), value("tail")
-    middle = F.slice(lines, head + 1, F.greatest(F.lit(0), F.size(lines) - head - tail))
+    middle = F.slice(lines, value("head") + 1, F.greatest(F.lit(0), F.size(lines) - value("head") - value("tail")))
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("context"), F.lit(0).alias("dropped"))
 
     def step(state: Column, line: Column) -> Column:
@@ -156,21 +151,49 @@ def elided(text: Column, family_name: Column, tag: str = S.TAG) -> Column:
             F.when(~context & ~room & fails, state["dropped"] + 1).otherwise(state["dropped"]).alias("dropped"),
         )
 
-    done = F.aggregate(middle, start, step)
-    count = F.size(middle) - F.size(done["kept"])
+    return F.aggregate(middle, start, step)
+
+
+def _assembled(text: Column, lines: Column, done: Column, family_name: Column, tag: str) -> Column:
+    """Head, marker, rescued lines and tail."""
+    value = lambda field: family_value(family_name, field)
+    head, tail = value("head"), value("tail")
+    count = F.greatest(F.lit(0), F.size(lines) - head - tail) - F.size(done["kept"])
     note = F.when(done["dropped"] > 0, F.concat(F.lit("· "), done["dropped"].cast("string"), F.lit(" more failure lines over cap="), value("max_kept").cast("string"), F.lit(", see local copy "))).otherwise("")
     marker = F.concat(F.lit(f"[... {tag}: "), count.cast("string"), F.lit(" middle lines elided · full text kept locally as "), ref(text), F.lit(" "), note, F.lit("...]"))
     parts = F.concat(F.slice(lines, F.lit(1), head), F.array(marker), done["kept"], F.slice(lines, F.size(lines) - tail + 1, tail))
-    out = F.array_join(parts, "\n")
-    applies = (F.octet_length(text) >= value("min_bytes")) & ~F.contains(text, F.lit(f"[... {tag}:")) & (F.size(lines) > head + tail + 2)
-    return F.when(applies & (F.octet_length(out) <= F.octet_length(text) * S.HEAD_TAIL_FLOOR), out).otherwise(text)
+    return F.array_join(parts, "\n")
+
+
+def _accepted(text: Column, lines: Column, made: Column, family_name: Column, tag: str) -> Column:
+    """``made`` where elision applies and saves a tenth, else the text."""
+    value = lambda field: family_value(family_name, field)
+    applies = (F.octet_length(text) >= value("min_bytes")) & ~F.contains(text, F.lit(f"[... {tag}:")) & (F.size(lines) > value("head") + value("tail") + 2)
+    return F.when(applies & (F.octet_length(made) <= F.octet_length(text) * S.HEAD_TAIL_FLOOR), made).otherwise(text)
+
+
+def elided(text: Column, family_name: Column, tag: str = S.TAG) -> Column:
+    """T1-T3 as one expression."""
+    lines = F.split(text, "\n")
+    made = _assembled(text, lines, _rescued(lines, family_name), family_name, tag)
+    return _accepted(text, lines, made, family_name, tag)
+
+
+def with_elision(df: DataFrame, text: str, family_name: Column, out: str, tag: str = S.TAG) -> DataFrame:
+    """T1-T3 as column ``out``, a projection a step, so that Spark folds a text once however often the fold is used."""
+    steps = df.withColumn("gm_lines", F.split(text, "\n"))
+    lines = F.col("gm_lines")
+    steps = steps.withColumn("gm_done", _rescued(lines, family_name))
+    steps = steps.withColumn("gm_made", _assembled(F.col(text), lines, F.col("gm_done"), family_name, tag))
+    return steps.withColumn(out, _accepted(F.col(text), lines, F.col("gm_made"), family_name, tag)).drop("gm_lines", "gm_done", "gm_made")
 
 
 def token_count(text: Column, tokens: list[str]) -> Column:
-    """non-overlapping occurrences, summed over the tokens."""
+    """non-overlapping occurrences, summed over the tokens: what taking a token out shortens the text by."""
     total = F.lit(0)
     for token in tokens:
-        total = total + F.regexp_count(text, F.lit(any_of([token])))
+        gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(token), F.lit("")))
+        total = total + (gone / len(token.encode())).cast("int")
     return total
 
 
@@ -186,22 +209,34 @@ def timestamped(text: Column) -> Column:
     return F.least(F.size(dated), F.lit(3))
 
 
-def log_score(text: Column) -> Column:
+def log_score(text: Column, dated: Column | None = None) -> Column:
     """P7, step 4, of texts of up to three windows."""
-    return token_count(text, S.LOG_LEVELS) + timestamped(text)
+    return token_count(text, S.LOG_LEVELS) + (timestamped(text) if dated is None else dated)
 
 
-def test_score(text: Column) -> Column:
+def test_score(text: Column, lines: Column | None = None) -> Column:
     """P7, step 3, of texts of up to three windows."""
-    trimmed = F.transform(router_lines(text), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    starts = F.size(F.filter(trimmed, lambda s: s.rlike("^" + any_of(S.CRASH_STARTS))))
-    return token_count(text, S.TEST_TOKENS) + starts + F.size(F.filter(trimmed, diagnostic))
+    trimmed = F.transform(router_lines(text) if lines is None else lines, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    marked = F.transform(trimmed, lambda s: s.rlike("^" + any_of(S.CRASH_STARTS)).cast("int") + diagnostic(s).cast("int"))
+    return token_count(text, S.TEST_TOKENS) + F.aggregate(marked, F.lit(0), lambda total, x: total + x)
+
+
+def _machine_kind(text: Column, tests: Column, logs: Column, dated: Column) -> Column:
+    marks = F.substring(text, 1, S.PROBE_BYTES).rlike(any_of(S.LOG_MARKS))
+    return F.when(tests >= 3, "test_output").when((logs >= 3) & (marks | (dated >= 3)), "log_output").otherwise("prose")
 
 
 def machine_kind(text: Column) -> Column:
     """P7, steps 3 to 5, for texts that are neither JSON nor code and have up to three windows."""
-    marks = F.substring(text, 1, S.PROBE_BYTES).rlike(any_of(S.LOG_MARKS))
-    return F.when(test_score(text) >= 3, "test_output").when((log_score(text) >= 3) & (marks | (timestamped(text) >= 3)), "log_output").otherwise("prose")
+    return _machine_kind(text, test_score(text), log_score(text), timestamped(text))
+
+
+def with_kind(df: DataFrame, text: str, out: str, scores: bool = False) -> DataFrame:
+    """``machine_kind`` as column ``out``, and with ``scores`` what it rests on, each counted once."""
+    dated = df.withColumn("gm_dated", timestamped(F.col(text)))
+    scored = dated.withColumn("test_score", test_score(F.col(text)).cast("long")).withColumn("log_score", log_score(F.col(text), F.col("gm_dated")).cast("long"))
+    kinds = scored.withColumn(out, _machine_kind(F.col(text), F.col("test_score"), F.col("log_score"), F.col("gm_dated")))
+    return kinds.drop("gm_dated") if scores else kinds.drop("gm_dated", "test_score", "log_score")
 
 
 def saved_pct(original: Column, sent: Column) -> Column:

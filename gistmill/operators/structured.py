@@ -72,7 +72,7 @@ def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lock = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("+dep-"), i.cast("string"), F.lit(" v1")))
     head = F.array(F.lit("diff --git a/src/a.py b/src/a.py"), F.lit("--- a/src/a.py"), F.lit("+++ b/src/a.py"), F.lit("@@ -1,26 +1,26 @@"))
     tail = F.concat(F.array(F.lit("diff --git a/go.sum b/go.sum"), F.lit("--- a/go.sum"), F.lit("+++ b/go.sum"), F.lit("-old v0")), lock)
-    rows = X.table(spark, sf_dir, "documents").filter(F.size(words) == 12)
+    rows = X.texts(spark, sf_dir).filter(F.size(words) == 12)
     return rows.select("doc_id", F.array_join(F.concat(head, lines, F.array(F.lit("-was"), F.lit("+is")), lines, tail), "\n").alias("diff"))
 
 

@@ -59,7 +59,7 @@ SELECT conv_id, turn, strlen(body) AS bytes, strlen(body) < 256 OR NOT (contains
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
-    return X.table(spark, sf_dir, "documents").select(
+    return X.texts(spark, sf_dir).select(
         "doc_id", F.size(lines).cast("long").alias("lines"), F.size(N.router_lines(F.col("text"))).cast("long").alias("router_lines"),
         F.size(F.filter(lines, lambda s: F.trim(s) == "")).cast("long").alias("blank"), F.array_max(F.transform(lines, lambda s: F.octet_length(s))).cast("long").alias("longest"),
     )
@@ -97,8 +97,7 @@ SELECT event_id, line, regexp_matches(line, '{N.DIAGNOSTIC}') AND NOT regexp_mat
 
 
 def classify_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blob = F.col("blob")
-    return X.logs(spark, sf_dir).select("user_id", N.test_score(blob).cast("long").alias("test_score"), N.log_score(blob).cast("long").alias("log_score"), N.machine_kind(blob).alias("kind"))
+    return N.with_kind(X.logs(spark, sf_dir), "blob", "kind", scores=True).select("user_id", "test_score", "log_score", "kind")
 
 
 def _count_sql(text: str, tokens: list[str]) -> str:
@@ -117,7 +116,7 @@ SELECT user_id, test_score::BIGINT AS test_score, log_score::BIGINT AS log_score
 
 
 def classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = X.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = X.texts(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
     logs = X.logs(spark, sf_dir).select(F.concat(F.lit("log-"), F.col("user_id").cast("string")).alias("id"), F.col("blob").alias("text"))
     arrays = X.arrays(spark, sf_dir).select(F.concat(F.lit("json-"), F.col("user_id").cast("string")).alias("id"), F.col("doc").alias("text"))
     return engine.classified(docs.unionByName(logs).unionByName(arrays), "id", "text")
@@ -159,8 +158,8 @@ elided AS (SELECT user_id, family, blob, CASE WHEN strlen(blob) >= floor_bytes A
 
 
 def elide_headtail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = N.elided(F.col("blob"), F.lit("deepseek"))
-    return X.logs(spark, sf_dir).select("user_id", F.octet_length("blob").cast("long").alias("original_bytes"), out.alias("out"))
+    rows = N.with_elision(X.logs(spark, sf_dir), "blob", F.lit("deepseek"), "out")
+    return rows.select("user_id", F.octet_length("blob").cast("long").alias("original_bytes"), "out")
 
 
 ELIDE_SQL = f"WITH {X.LOGS}, {_elided_sql(chr(39).join(['SELECT user_id, ', 'deepseek', ' AS family, blob FROM logs']))} SELECT user_id, strlen(blob) AS original_bytes, out FROM elided"
@@ -176,9 +175,9 @@ _WITH_FAMILY_SQL = f"SELECT user_id, list_extract({list(S.FAMILIES)}, (user_id %
 
 def elide_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: each user's log, classified, elided for a model family, and what that saves."""
-    kind = N.machine_kind(F.col("blob"))
-    out = F.when(kind.isin("test_output", "log_output"), N.elided(F.col("blob"), F.col("family"))).otherwise(F.col("blob"))
-    rows = _with_family(spark, sf_dir).select("user_id", "family", kind.alias("kind"), F.octet_length("blob").cast("long").alias("original_bytes"), F.octet_length(out).cast("long").alias("sent_bytes"))
+    rows = N.with_elision(N.with_kind(_with_family(spark, sf_dir), "blob", "kind"), "blob", F.col("family"), "out")
+    sent = F.when(F.col("kind").isin("test_output", "log_output"), F.octet_length("out")).otherwise(F.octet_length("blob"))
+    rows = rows.select("user_id", "family", "kind", F.octet_length("blob").cast("long").alias("original_bytes"), sent.cast("long").alias("sent_bytes"))
     return rows.withColumn("saved_bytes", F.col("original_bytes") - F.col("sent_bytes"))
 
 
@@ -234,7 +233,7 @@ CLEAN_RETURNS_SQL = f"""WITH {_DIRTY_SQL} SELECT user_id, array_to_string(list_t
 
 
 def fold_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(N.fold_repeats(F.col("text")), 256).alias("folded_sha"), F.octet_length(N.fold_repeats(F.col("text"))).cast("long").alias("folded_bytes"))
+    return X.texts(spark, sf_dir).select("doc_id", F.sha2(N.fold_repeats(F.col("text")), 256).alias("folded_sha"), F.octet_length(N.fold_repeats(F.col("text"))).cast("long").alias("folded_bytes"))
 
 
 FOLD_SQL = """
@@ -262,7 +261,7 @@ SELECT path, base IN ({', '.join(repr(x) for x in S.LOCKFILES)}) OR suffix(base,
 
 def gate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The native parts of the gate, over documents, logs and JSON."""
-    docs = X.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = X.texts(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
     logs = X.logs(spark, sf_dir).select(F.concat(F.lit("log-"), F.col("user_id").cast("string")).alias("id"), F.col("blob").alias("text"))
     arrays = X.arrays(spark, sf_dir).select(F.concat(F.lit("json-"), F.col("user_id").cast("string")).alias("id"), F.col("doc").alias("text"))
     text = F.col("text")
@@ -304,7 +303,7 @@ SELECT user_id, out, CASE WHEN out = blob THEN 'none' ELSE 'elide' END AS pass F
 
 def document_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13 on documents with runs of repeated lines folded even where no other pass applies."""
-    rows = engine.distilled(X.table(spark, sf_dir, "documents"), "doc_id", "text", fold_ungated=True)
+    rows = engine.distilled(X.texts(spark, sf_dir), "doc_id", "text", fold_ungated=True)
     return rows.select("doc_id", "pass", F.octet_length("out").cast("long").alias("out_bytes"))
 
 

@@ -45,6 +45,16 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for work that is heavier than its bytes: dealt out to all cores where its files give fewer partitions.
+
+    Large tables have more partitions than there are cores, and are read as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Rows and bytes of one Arrow batch that is handed to Python.  Long texts make large batches, so both are bounded.
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
