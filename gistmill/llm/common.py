@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.plans.tables import delete, new_path, shared_dir, small_batches, stored
+from gistmill.plans.tables import delete, new_path, scan, shared_dir, small_batches, stored
 
 __all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "shared_dir", "small_batches", "stored", "texts"]
 
@@ -40,4 +40,5 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents, for operators that work on each text in Python."""
+    return scan(spark, f"{sf_dir}/documents.parquet")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import delete, documents, stored
+from gistmill.llm.common import delete, stored
 
 
 def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -70,7 +70,7 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near equal bytes."""
-    return shard_by_bytes(documents(spark, sf_dir))
+    return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: CRC-32 is a fold over a text's bytes with a table of 256 remainders, which is made here from the polynomial.
