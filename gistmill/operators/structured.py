@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill import schema as S
-from gistmill.plans import engine
+from gistmill.plans import engine, tables
 from gistmill.sources import fixtures as X
 
 _K = "regexp_extract(props, '([0-9]+)', 1)"
@@ -58,7 +58,7 @@ def json_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(
         F.lit('{"zeta": "<'), "event_type", F.lit('>", "etag": "abc", "gone": null, "empty": { }, "list": [1, null, {"x": null}], "k": '), k, F.lit(', "deep": {"trace_id": "t", "inner": []}, "id": '), F.col("event_id").cast("string"), F.lit("}")
     )
-    rows = X.table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    rows = tables.scan(spark, f"{sf_dir}/events.parquet").select("event_id", doc.alias("doc"))
     return engine.distilled(rows, "event_id", "doc").select("event_id", "out", "pass")
 
 
