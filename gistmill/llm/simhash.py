@@ -18,11 +18,13 @@ thousands of exact copies are one node.  A crowded cell is cut into blocks of ab
 a spanning forest of the links it found, never all pairs.  Components are found by
 alternating star contraction on stored tables.
 
-``near_groups`` looks for near copies by similarity instead: two texts are linked if one of
-their two fingerprints of distinct words lies within ``radius`` bits and 128 fingerprint bits of 5-word
-shingles (XXH3) differ as little as at a Jaccard similarity of 0.8 or more.  A copy with
-scattered edits keeps most of its words but loses a shingle for each word around an edit,
-so the first test finds it and the second tells it from texts that only share words.
+``near_groups`` links two texts if the Jaccard similarity of their sets of 5-word shingles is 0.8 or
+more.  A set is held as XXH3-64 hashes, and texts of one set are one node.  Candidates come from 160 MinHashes,
+one byte each: 40 bands of 4 name the cells, and a pair of one cell is a candidate if at least 96 of
+160 agree and its sizes allow 0.8.  A pair of similarity 0.8 is missed with a probability under 1e-8, whatever the
+kind of edit, as MinHashes know the similarity alone.  Every link is then confirmed on the whole sets: first a spanning forest of
+each cell's likely pairs (128 of 160), and, as a forest has no alternative where an edge fails, then all candidate pairs
+that the confirmed edges leave in different components.
 
 Defined cases.  A null or empty text, or one of white space, has fingerprint zero
 and is linked like any other.  Repeated rows are kept, one result row each.  A row
@@ -33,8 +35,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,9 @@ from pyspark.sql import functions as F
 from gistmill.llm.common import delete, documents, id_and_text, small_batches, stored, texts
 
 SEED = 42
+#: MinHashes of near_groups: a cell is a band of ROWS; LEAST of all agree in a candidate, LIKELY where 0.8 is expected.
+BANDS, ROWS, LEAST, LIKELY = 40, 4, 96, 128
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BITS = np.array([[(byte >> bit) & 1 for bit in range(8)] for byte in range(256)], dtype=np.int64)
 
 
@@ -80,24 +84,23 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return _bits(counts, len(starts))
 
 
-def _wide(tokens: Iterator[bytes], n: int) -> tuple[int, int]:
-    """Two 64-bit fingerprints, the halves of the majority of 128-bit hashes."""
-    counts = np.zeros(128, dtype=np.int64)
-    digest = xxhash.xxh3_128_digest
-    while part := b"".join(digest(t) for t in islice(tokens, 1 << 16)):
-        majority(np.frombuffer(part, dtype=np.uint8).reshape(-1, 16), counts)
-    value = _bits(counts, n)
-    return value & 0xFFFFFFFFFFFFFFFF, value >> 64
-
-
-def sketch(text: bytes, width: int = 5) -> tuple[int, int, int, int]:
-    """Two fingerprints of the distinct words of a text, and two of its shingles."""
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
     words = text.lower().split()
     if not words:
-        return 0, 0, 0, 0
+        return np.zeros(0, dtype="<u8")
     joined, starts, ends = _spans(words, width)
-    kinds = set(words)
-    return _wide(iter(kinds), len(kinds)) + _wide((joined[a:b] for a, b in zip(starts, ends)), len(starts))
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype="<u8", count=len(starts)))
+
+
+def minhashes(hashes: np.ndarray) -> np.ndarray:
+    """A byte of each of the ``BANDS * ROWS`` MinHashes of a set, in longs of 8."""
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, dtype=np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1024):
+        np.minimum(least, (_FACTORS[:, None] * high[None, at : at + 1024]).min(axis=1), out=least)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view("<i8")
 
 
 def _signed(value: int) -> int:
@@ -143,39 +146,45 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _near(a: np.ndarray, b: np.ndarray, keys: int, radius: int, confirm: int | None) -> np.ndarray:
-    """Which rows of a and b (columns: ``keys`` fingerprints, then confirming words) are linked."""
-    apart = lambda c: np.bitwise_count(a[:, None, c] ^ b[None, :, c])
-    near = apart(0) <= radius
-    for c in range(1, keys):
-        near |= apart(c) <= radius
-    if confirm is not None:
-        near &= sum(apart(c).astype(np.int16) for c in range(keys, a.shape[1])) <= confirm
-    return near
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which fingerprints of a and b are linked."""
+    return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+
+
+def links(nodes: DataFrame, radius: int = 4, block: int = 512) -> tuple[DataFrame, str]:
+    """Edges (a, b) between the longs ``gm_node``, enough to connect all that lie within ``radius`` bits, and the path of a table they read."""
+
+    def work(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
+        near = _near(a[:, 0], a[:, 0] if b is None else b[:, 0], radius)
+        if b is not None:
+            both = np.zeros((len(a) + len(b),) * 2, dtype=bool)
+            both[: len(a), len(a) :], both[len(a) :, : len(a)] = near, near.T
+            near, a = both, np.concatenate([a, b])
+        return forest(near)
+
+    return _compared(nodes, ["gm_node"], [("gm_node", m) for m in covering_masks(radius)], work, block)
 
 
-def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radius: int = 4, confirm: int | None = None, block: int = 512) -> tuple[DataFrame, str]:
-    """Edges (a, b) between the longs ``gm_node``, enough to connect all that are linked, and the path of a table they read.
+def _compared(nodes: DataFrame, columns: list[str], masks: list[tuple[str, int]], pairs: Callable, block: int, label: str = "gm_node") -> tuple[DataFrame, str]:
+    """Distinct edges (a, b) of nodes that share a cell, a column under a mask, but not the ``label``; and the path of a table they read.
 
-    Two nodes are linked if they lie within ``radius`` bits in one of the columns ``keys`` and, with
-    ``confirm``, within that many bits in the columns ``more`` together.
+    ``pairs`` takes the matrix of ``columns`` (``gm_node`` first) of one block, or of two, and returns pairs of rows of both.
     """
-    masks = covering_masks(radius)
-    columns = ["gm_node", *keys, *(more or [])]
     # A cell is named by the hash of its table and masked word; should two names meet, their nodes are compared in vain.
-    names = [F.xxhash64(F.lit(t), F.col(k).bitwiseAND(F.lit(m))) for t, (k, m) in enumerate((k, m) for k in keys for m in masks)]
+    names = [F.xxhash64(F.lit(t), F.col(k).bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(masks)]
     spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
-    cells = spread.select("gm_node", F.explode(F.array(*names)).alias("gm_cell"))
+    cells = spread.select(*dict.fromkeys(["gm_node", label]), F.explode(F.array(*names)).alias("gm_cell"))
     # stored, so that both sides of the join are plain exchanges, which Spark splits where a cell is hot
-    crowded, path = stored(cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n")).filter("gm_n > 1"), "crowded")
-    met = cells.join(crowded, "gm_cell")
-    parts = F.ceil(F.col("gm_n") / F.lit(block)).cast("int")
+    counted = cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n"), F.min(label).alias("gm_low"), F.max(label).alias("gm_high"))
+    crowded, path = stored(counted.filter("gm_n > 1 AND gm_low < gm_high").select("gm_cell", F.col("gm_n").alias("gm_met")), "crowded")
+    met = cells.select("gm_node", "gm_cell").join(crowded, "gm_cell")
+    parts = F.ceil(F.col("gm_met") / F.lit(block)).cast("int")
     met = met.withColumn("gm_parts", parts).withColumn("gm_part", F.pmod(F.xxhash64("gm_node"), F.col("gm_parts")).cast("int"))
     met = met.withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_parts") - 1)))
-    if columns != ["gm_node", "gm_node"]:  # what is compared joins only the rows of crowded cells
-        met = met.join(nodes.select(*dict.fromkeys(columns)), "gm_node")
+    if columns != ["gm_node"]:  # what is compared joins only the rows of crowded cells
+        met = met.join(nodes.select(*columns), "gm_node")
     i, j = F.least("gm_part", "gm_other"), F.greatest("gm_part", "gm_other")
-    row = F.struct(*[F.col(c).alias(f"c{n}") for n, c in enumerate(columns)])
+    row = F.struct(*[F.col(c).cast("long").alias(f"c{n}") for n, c in enumerate(columns)])
     met = met.select("gm_cell", "gm_part", row.alias("gm_row"), i.alias("gm_i"), j.alias("gm_j"))
     here = lambda test: F.collect_list(F.when(test, F.col("gm_row")))
     groups = met.groupBy("gm_cell", "gm_i", "gm_j").agg(
@@ -195,19 +204,75 @@ def links(nodes: DataFrame, keys: list[str], more: list[str] | None = None, radi
                 a, b = left[at[r] : at[r + 1]], right[to[r] : to[r + 1]]
                 if len(a) + len(b) < 2 or (not alone and not (len(a) and len(b))):
                     continue
-                near = _near(a[:, 1:], a[:, 1:] if alone else b[:, 1:], len(keys), radius, confirm)
-                if not alone:
-                    both = np.zeros((len(a) + len(b),) * 2, dtype=bool)
-                    both[: len(a), len(a) :], both[len(a) :, : len(a)] = near, near.T
-                    near, a = both, np.concatenate([a, b])
-                name = a[:, 0].view(np.int64)
-                out += [(int(name[x]), int(name[y])) for x, y in forest(near)]
+                name = np.concatenate([a[:, 0], b[:, 0]]).view(np.int64)
+                out += [(int(name[x]), int(name[y])) for x, y in pairs(a, None if alone else b)]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     found = groups.select("gm_i", "gm_j", "gm_left", "gm_right").mapInArrow(work, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path
 
 
+def _sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of two sizes allow a similarity of 0.8."""
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def likely(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of which LIKELY MinHashes agree; columns: node, size, component, MinHashes."""
+    rows = a if b is None else np.concatenate([a, b])
+    size, marks = rows[:, 1].astype(np.int64), np.ascontiguousarray(rows[:, 3:]).view(np.uint8)
+    free = np.argsort(rows[:, 0].view(np.int64))  # the least node is the root, in every cell alike
+    edges: list[tuple[int, int]] = []
+    while len(free) > 1:
+        queue, free = [free[0]], free[1:]
+        while queue and len(free):
+            at = queue.pop()
+            near = _sized(size[free], size[at]) & (np.count_nonzero(marks[free] == marks[at], axis=1) >= LIKELY)
+            edges += [(at, x) for x in free[near]]
+            queue += free[near].tolist()
+            free = free[~near]
+    return edges
+
+
+def candidates(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
+    """All pairs of two components of which LEAST MinHashes agree; columns as in ``likely``."""
+    other = a if b is None else b
+    fit = _sized(a[:, None, 1].astype(np.int64), other[None, :, 1].astype(np.int64)) & (a[:, None, 2] != other[None, :, 2])
+    x, y = np.nonzero(np.triu(fit, 1) if b is None else fit)
+    left, right = (np.ascontiguousarray(m[:, 3:]).view(np.uint8) for m in (a, other))
+    found: list[tuple[int, int]] = []
+    for at in range(0, len(x), 1 << 14):
+        i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+        near = np.count_nonzero(left[i] == right[j], axis=1) >= LEAST
+        found += zip(i[near].tolist(), (j[near] + (0 if b is None else len(a))).tolist())
+    return found
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is 0.8 or more."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 5 * common >= 4 * (len(both) - common)
+
+
+def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``edges`` whose sets (gm_node, gm_set) are similar."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("gm_node")).distinct()
+    known, path = stored(sets.join(ends, "gm_node", "left_semi").groupBy("gm_node").agg(F.first("gm_set").alias("gm_set")), "sets")
+    side = lambda k: known.select(F.col("gm_node").alias(k), F.col("gm_set").alias(f"gm_{k}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = lambda v: np.frombuffer(v.as_buffer(), dtype="<u8")
+            keep = [similar(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "gm_a", "gm_b")
+    found, _ = _few(both.mapInArrow(work, "a long, b long"), "confirmed")
+    delete(edges.sparkSession, path)
+    return found
+
+
 def _few(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``stored`` for narrow rows that are few beside the documents: an eighth of the shuffle's partitions, so fewer files."""
     return stored(df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
@@ -261,43 +326,53 @@ def simhash_groups(
     """
     prints, _ = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
     nodes = prints.groupBy(F.col("gm_fp").alias("gm_node")).agg(F.min("gm_id").alias("gm_least"))
-    known = _grouped(nodes, links(nodes.select("gm_node"), ["gm_node"], radius=radius, block=block))
+    known = _grouped(nodes, links(nodes.select("gm_node"), radius, block))
     return prints.join(known, F.col("gm_fp") == F.col("gm_node")).select(
         F.col("gm_id").alias(id_col), F.lower(F.lpad(F.hex("gm_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-#: Of 128 fingerprint bits, how many may differ: 19 are expected at a Jaccard similarity of 0.8, with a deviation of 4.
-CONFIRM = 25
+_MARKS = [f"gm_m{k}" for k in range(BANDS * ROWS // 8)]
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
-    """gm_id, gm_text_hash and the four words of ``sketch`` of every row."""
+    """gm_id, gm_text_hash, gm_node (the hash of the shingle set), gm_n (its size), gm_set and its MinHashes of every row."""
     small_batches(df.sparkSession)
     rows = id_and_text(df, id_col, text_col).withColumn("gm_text_hash", F.xxhash64("gm_text"))
-    names = ["gm_id", "gm_text_hash", "gm_w1", "gm_w2", "gm_s1", "gm_s2"]
+    names = ["gm_id", "gm_text_hash", "gm_node", "gm_n", "gm_set", *_MARKS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, width) for t in texts(batch.column(1))]
-            columns = [pa.array([_signed(f[k]) for f in found], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
+            sets = [shingle_set(t, width) for t in texts(batch.column(1))]
+            held = [s.tobytes() for s in sets]
+            marks = np.stack([minhashes(s) for s in sets]) if sets else np.zeros((0, len(_MARKS)), dtype="<i8")
+            columns = [pa.array([_signed(xxhash.xxh64_intdigest(h, SEED)) for h in held], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *map(pa.array, marks.T)], names=names)
 
     kind = rows.schema["gm_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"gm_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
-
-
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, confirm: int = CONFIRM, block: int = 512) -> DataFrame:
-    """One row per row of ``df``: gm_id, gm_text_hash and component_id, by similarity of 0.8 or more.
-
-    Texts whose four words agree are one node; its name is their hash.
-    """
-    words = ["gm_w1", "gm_w2", "gm_s1", "gm_s2"]
-    prints, _ = stored(sketches(df, id_col, text_col).withColumn("gm_node", F.xxhash64(*words)), "sketches")
-    nodes, path = stored(prints.groupBy("gm_node", *words).agg(F.min("gm_id").alias("gm_least")), "nodes")
-    known = _grouped(nodes.select("gm_node", "gm_least"), links(nodes, words[:2], words[2:], radius, confirm, block))
-    delete(df.sparkSession, path)
-    return prints.join(known, "gm_node").select("gm_id", "gm_text_hash", "component_id")
+    return rows.mapInArrow(work, f"gm_id {kind}, gm_text_hash long, gm_node long, gm_n long, gm_set binary, " + ", ".join(f"{n} long" for n in _MARKS))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+    """One row per row of ``df``: gm_id, gm_text_hash and component_id, by similarity of 0.8 or more."""
+    spark = df.sparkSession
+    columns, masks = ["gm_node", "gm_n", "gm_root", *_MARKS], [(m, half) for m in _MARKS for half in (0xFFFFFFFF, -1 << 32)]
+    prints, sets_path = stored(sketches(df, id_col, text_col), "sketches")
+    slim = [F.first(c).alias(c) for c in ["gm_n", *_MARKS]]
+    nodes, path = stored(prints.groupBy("gm_node").agg(F.min("gm_id").alias("gm_least"), *slim), "nodes")
+    filled = nodes.filter("gm_n > 0")
+    sets = prints.select("gm_node", "gm_set")
+    found, one = _compared(filled.withColumn("gm_root", F.col("gm_node")), columns, masks, likely, block)
+    pairs, two = _few(found, "pairs")
+    sure = confirmed(pairs, sets)
+    roots, used = components(sure)
+    placed, three = stored(filled.join(roots, F.col("gm_node") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "gm_node")).select(*columns), "placed")
+    found, four = _compared(placed, columns, masks, candidates, block, "gm_root")
+    pairs, five = _few(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    known = _grouped(nodes.select("gm_node", "gm_least"), (sure.union(confirmed(pairs, sets)), one))
+    groups, _ = stored(prints.select("gm_id", "gm_text_hash", "gm_node").join(known, "gm_node").select("gm_id", "gm_text_hash", "component_id"), "groups")
+    delete(spark, sets_path, path, two, three, four, five, *used)
+    return groups
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -107,3 +107,75 @@ def test_dedup_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in H.deduplicated(df).collect()) == [(2, "a b c d e f"), (3, None)]
     assert H.deduplicated(df.limit(0)).count() == 0
+
+
+def shingle_sets(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def exact_groups(rows):
+    """Components of all pairs of a Jaccard similarity of 0.8 or more, and how many such pairs there are."""
+    sets, root, pairs = [shingle_sets(t) for _, t in rows], list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return {doc: least[find(i)] for i, (doc, _) in enumerate(rows)}, pairs
+
+
+def edited(rng, words, base, kind, part):
+    """A copy of ``base`` with a passage of ``part`` of its words appended, wrapped around it or cut off, or as many words changed one by one."""
+    n = round(part * len(base))
+    fresh = [rng.choice(words) for _ in range(n)]
+    if kind == "appended":
+        return base + fresh
+    if kind == "wrapped":
+        return fresh[: n // 2] + base + fresh[n // 2 :]
+    if kind == "cut":
+        return base[: len(base) - n]
+    copy = list(base)
+    for at in rng.sample(range(len(base)), n // 5):
+        copy[at] = rng.choice(words)
+    return copy
+
+
+@pytest.mark.parametrize("kind", ["appended", "wrapped", "cut", "scattered"])
+def test_every_kind_of_copy_is_found(spark, kind):
+    """Copies near the bound on both sides, repeated shingles among them: the groups are those of brute force."""
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 600))]
+        if g % 3 == 0:
+            base += base[:20] * 5
+        rows += [(4 * g + c, " ".join(edited(rng, words, base, kind, part))) for c, part in enumerate((0, 0.1, 0.19, 0.24))]
+    want, pairs = exact_groups(rows)
+    assert pairs > 60
+    got = {r.gm_id: r.component_id for r in H.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    assert got == want
+
+
+def test_no_link_below_the_bound(spark):
+    """Texts of similarities from 0.55 to 0.8 stay apart, and an edge that fails leaves the others: documents of the table as by brute force."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(400)]
+    rows = [(i, " ".join(edited(rng, words, base, "scattered", 0.12 + 0.01 * (i % 10)))) for i in range(60)]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want, _ = exact_groups(rows)
+    assert len({want[i] for i in range(60)}) > 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.gm_id: r.component_id for r in H.near_groups(df, block=16).collect()} == want
+    assert sorted(r.doc_id for r in H.deduplicated(df).collect()) == sorted(set(want.values()))
