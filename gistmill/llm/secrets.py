@@ -20,6 +20,10 @@ Confirmed kinds are reported only if what they encode parses:
 * ``ssh``: base64 of an OpenSSH private key (``openssh-key-v1`` and its length-prefixed
   fields).
 
+Line ends may be escaped as in JSON.  A key is looked for from every place of a run of base64 where
+one may start, so it may be glued to other characters.  A run that encodes a text with one of these kinds (a
+whole PEM file, say) is reported whole, as the first of them; one level is opened.
+
 Spans are code-point offsets into the whole text, end exclusive.
 
 Defined cases.  A null text is read as empty: no spans, and the checksum of the empty
@@ -49,10 +53,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?!-----)[A-Za-z0-9+/=\s:,-])*)-----END \1PRIVATE KEY-----")
+#: A line end, also one escaped once or more as in JSON, and the next line's indentation.
+_BREAK = r"(?:\r?\n|\\+(?:[nrt]|u000[aAdD]))+[\x20\t]*"
+_BREAKS = re.compile(_BREAK)
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?!-----)(?:[A-Za-z0-9+/=\s:,-]|\\+(?:[nrt/\s]|u000[aAdD])))*)-----END \1PRIVATE KEY-----")
+_ESCAPES = re.compile(r"\\+(?:[nrt\s]|u000[aAdD])")
 #: Base64 of 40 or more characters, also over lines of it; hexadecimal of 64 or more.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
-_HEX_DER = re.compile(r"(?<![0-9A-Za-z])30(?:[0-9a-f]{2}){31,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])30(?:[0-9A-F]{2}){31,}(?![0-9A-Za-z])")
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{40,}}(?:{_BREAK}[A-Za-z0-9+/_-]{{4,}})*={{0,2}}")
+#: Where a SEQUENCE, "openssh-key-v1" or "-----B" may start in a run of base64.
+_STARTS = re.compile(r"M|b3BlbnNza|LS0tLS1C")
+_HEX_DER = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(30(?:[0-9a-f]{2}){31,}|30(?:[0-9A-F]{2}){31,})(?![0-9A-Za-z])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -99,22 +109,14 @@ def der(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     return items
 
 
-def der_lines(text: str) -> str:
-    """As many leading lines of ``text`` as the outer DER length asks for; all of it if no line ends there."""
-    head = unbase64(text[:8]) or b""
-    if len(head) < 6 or head[0] != 0x30:
-        return text
+def der_size(head: bytes) -> int:
+    """The bytes of a SEQUENCE that starts with ``head`` and a version of 0 or 1; 0 if it does not."""
+    if len(head) < 9 or head[0] != 0x30:
+        return 0
     n = head[1] & 0x7F if head[1] & 0x80 else 0
-    if n > 4:
-        return text
-    size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-    need, seen, at = -(-size * 4 // 3), 0, 0
-    for line in text.splitlines(keepends=True):
-        seen += len(line.rstrip("\r\n").rstrip("="))
-        at += len(line)
-        if seen >= need:
-            return text[:at].rstrip("\r\n") if seen == need else text
-    return text
+    if n > 4 or head[1] == 0x80 or head[2 + n : 4 + n] != b"\x02\x01" or head[4 + n : 5 + n] > b"\x01":
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
 def is_der_key(data: bytes) -> bool:
@@ -134,11 +136,11 @@ def is_der_key(data: bytes) -> bool:
     return version == 1 and len(tags) > 1 and tags[1] == 0x04 and inner[1][2] - inner[1][1] >= 16
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether ``data`` is an OpenSSH private key: magic, three length-prefixed names, a count and that many public keys."""
+def ssh_size(data: bytes) -> int:
+    """The bytes of the OpenSSH private key that ``data`` starts with: magic, three length-prefixed names, a count and that many public keys; else 0."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
 
     def field() -> bool:
@@ -149,10 +151,63 @@ def is_ssh_key(data: bytes) -> bool:
         return at <= len(data)
 
     if not (field() and field() and field()) or at + 4 > len(data):
-        return False
+        return 0
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= count <= 16 and all(field() for _ in range(count + 1)) and at == len(data)
+    return at if 1 <= count <= 16 and all(field() for _ in range(count + 1)) else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether ``data`` is one OpenSSH private key."""
+    return bool(data) and ssh_size(data) == len(data)
+
+
+def _whole(flat: str) -> bytes:
+    """The whole bytes of base64 without padding, of any length."""
+    return unbase64(flat[: len(flat) - (len(flat) % 4 == 1)]) or b""
+
+
+def _run_spans(run: str, nested: int) -> list[tuple[int, int, str]]:
+    """Keys in one run of base64, from wherever in it one may start; and, one level down, in the text that it encodes."""
+    flat, breaks = _BREAKS.sub("", run).rstrip("="), [m.span() for m in _BREAKS.finditer(run)]
+
+    def place(i: int) -> int:
+        for a, b in breaks:
+            if a > i:
+                break
+            i += b - a
+        return i
+
+    found, at = [], 0
+
+    def add(start: int, end: int, kind: str) -> None:
+        nonlocal at
+        last = place(end - 1) + 1
+        while end == len(flat) and last < len(run) and run[last] == "=":
+            last += 1
+        found.append((place(start), last, kind))
+        at = end
+
+    if nested and (data := _whole(flat)) and confirmed_spans(data.decode("latin-1"), 0):
+        kind = confirmed_spans(data.decode("latin-1"), 0)[0][2]
+        add(0, len(flat), kind)
+    while hit := _STARTS.search(flat, at):
+        start = hit.start()
+        at = start + 1
+        if hit[0] == "M":
+            size = der_size(_whole(flat[start : start + 16]))
+            end = start + -(-size * 4 // 3)
+            if size and end <= len(flat) and is_der_key((unbase64(flat[start:end] + "A" * (-(end - start) % 4)) or b"")[:size]):
+                add(start, end, "der")
+        elif hit[0][0] == "b":
+            rest = flat[start:]
+            if size := ssh_size(unbase64(rest + "A" * (-len(rest) % 4)) or b""):
+                end = start + -(-size * 4 // 3)
+                if end <= len(flat):
+                    add(start, end, "ssh")
+        elif nested and start and confirmed_spans(_whole(flat[start:]).decode("latin-1"), 0):
+            add(start, len(flat), "pem")
+    return found
 
 
 def _object(part: str) -> dict | None:
@@ -164,7 +219,7 @@ def _object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
+def confirmed_spans(text: str, nested: int = 1) -> list[tuple[int, int, str]]:
     found = []
     if "eyJ" in text:
         for m in _JWT.finditer(text):
@@ -174,22 +229,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = unbase64(m[2]) if "Proc-Type" not in m[2] else None
+            data = unbase64(_ESCAPES.sub("\n", m[2]).replace("\\", "")) if "Proc-Type" not in m[2] else None
             if "Proc-Type" in m[2] or (data and (is_der_key(data) or is_ssh_key(data) or (m[1] == "ENCRYPTED " and der(data, 0, len(data)) is not None))):
                 found.append((m.start(), m.end(), "pem"))
                 taken.append(m.span())
     free = lambda m: not any(a < m.end() and m.start() < b for a, b in taken)
     for m in _BASE64.finditer(text):
-        if m[0][0] in "Mb" and free(m):  # the first six bits of a SEQUENCE or of "openssh"
-            body = der_lines(m[0]) if m[0][0] == "M" else m[0]
-            data = unbase64(body)
-            if data and is_der_key(data):
-                found.append((m.start(), m.start() + len(body), "der"))
-            elif data and is_ssh_key(data):
-                found.append((m.start(), m.end(), "ssh"))
+        if free(m):
+            found += [(m.start() + a, m.start() + b, kind) for a, b, kind in _run_spans(m[0], nested)]
     if "30" in text:
         for m in _HEX_DER.finditer(text):
-            if free(m) and is_der_key(bytes.fromhex(m[0])):
+            if free(m) and is_der_key(bytes.fromhex(m[1])):
                 found.append((m.start(), m.end(), "der"))
     return found
 

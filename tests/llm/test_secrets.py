@@ -112,3 +112,21 @@ def test_odd_rows(spark):
     assert by[(None, 1)].spans == "assign:0:18" and by[(None, 1)].redacted == "[SECRET]"
     assert by[(4, 1)].redacted == "wörter und " * 60_000 + "[SECRET]"
     assert S.scan(df.limit(0)).count() == 0
+
+
+def test_escaped_glued_and_nested_keys():
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(pkcs8()))) + "\n-----END PRIVATE KEY-----\n"
+    for text in (json.dumps({"private_key": pem}), json.dumps(json.dumps({"private_key": pem}))):
+        (a, b, kind), = S.confirmed_spans(text)
+        assert kind == "pem" and text[a:].startswith("-----BEGIN") and text[:b].endswith("KEY-----")
+    for text in (f"tls.key: {b64(pem.encode())}", f"data: x{b64(pem.encode())}", "k " + b64(json.dumps({"private_key": pem}).encode())):
+        (a, b, kind), = S.confirmed_spans(text)
+        assert kind == "pem" and b == len(text) and a <= 9
+    for key, kind in ((pkcs1(), "der"), (pkcs8(), "der"), (sec1(), "der"), (ssh(), "ssh")):
+        for glue in ("x", "xy", "xyz", "/Mb", "\\n"):
+            assert S.confirmed_spans(f"k {glue}{b64(key)} z") == [(2 + len(glue), 2 + len(glue) + len(b64(key)), kind)]
+        assert kinds(b64(b64(key).encode())) == [kind]
+        lines = "\\n".join(re.findall(".{1,64}", b64(key)))
+        assert S.confirmed_spans(f'"{lines}"') == [(1, 1 + len(lines), kind)]
+    assert kinds("k 0x" + pkcs1().hex().upper() + " z") == ["der"]
+    assert kinds("k " + b64(b"-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----") + " z") == []
