@@ -255,10 +255,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(both) - common)
 
 
-def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``edges`` whose sets (gm_node, gm_set) are similar."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("gm_node")).distinct()
-    known, path = stored(sets.join(ends, "gm_node", "left_semi").groupBy("gm_node").agg(F.first("gm_set").alias("gm_set")), "sets")
+def confirmed(edges: DataFrame, prints: DataFrame, rows: DataFrame, width: int = 5) -> DataFrame:
+    """Those of ``edges`` whose sets are similar.  ``prints`` names a node's texts by hash; only these of ``rows`` are read again."""
+    ends, first = _few(edges.select(F.explode(F.array("a", "b")).alias("gm_node")).distinct(), "ends")
+    wanted, second = _few(prints.join(ends, "gm_node").groupBy("gm_node").agg(F.min("gm_text_hash").alias("gm_text_hash")), "wanted")
+    found = rows.select("gm_text", F.xxhash64("gm_text").alias("gm_text_hash")).join(wanted, "gm_text_hash").select("gm_node", "gm_text")
+
+    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_set(t, width).tobytes() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["gm_node", "gm_set"])
+
+    sets = found.mapInArrow(read_sets, "gm_node long, gm_set binary")
+    known, path = stored(sets.groupBy("gm_node").agg(F.first("gm_set").alias("gm_set")), "sets")
     side = lambda k: known.select(F.col("gm_node").alias(k), F.col("gm_set").alias(f"gm_{k}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +278,7 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "gm_a", "gm_b")
     found, _ = _few(both.mapInArrow(work, "a long, b long"), "confirmed")
-    delete(edges.sparkSession, path)
+    delete(edges.sparkSession, path, first, second)
     return found
 
 
@@ -336,21 +345,21 @@ _MARKS = [f"gm_m{k}" for k in range(BANDS * ROWS // 8)]
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
-    """gm_id, gm_text_hash, gm_node (the hash of the shingle set), gm_n (its size), gm_set and its MinHashes of every row."""
+    """gm_id, gm_text_hash, gm_node (the hash of the shingle set), gm_n (its size) and its MinHashes of every row."""
     small_batches(df.sparkSession)
     rows = id_and_text(df, id_col, text_col).withColumn("gm_text_hash", F.xxhash64("gm_text"))
-    names = ["gm_id", "gm_text_hash", "gm_node", "gm_n", "gm_set", *_MARKS]
+    names = ["gm_id", "gm_text_hash", "gm_node", "gm_n", *_MARKS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in texts(batch.column(1))]
             held = [s.tobytes() for s in sets]
             marks = np.stack([minhashes(s) for s in sets]) if sets else np.zeros((0, len(_MARKS)), dtype="<i8")
-            columns = [pa.array([_signed(xxhash.xxh64_intdigest(h, SEED)) for h in held], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(held, pa.binary())]
+            columns = [pa.array([_signed(xxhash.xxh64_intdigest(h, SEED)) for h in held], pa.int64()), pa.array(map(len, sets), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *map(pa.array, marks.T)], names=names)
 
     kind = rows.schema["gm_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"gm_id {kind}, gm_text_hash long, gm_node long, gm_n long, gm_set binary, " + ", ".join(f"{n} long" for n in _MARKS))
+    return rows.mapInArrow(work, f"gm_id {kind}, gm_text_hash long, gm_node long, gm_n long, " + ", ".join(f"{n} long" for n in _MARKS))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
@@ -361,15 +370,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     slim = [F.first(c).alias(c) for c in ["gm_n", *_MARKS]]
     nodes, path = stored(prints.groupBy("gm_node").agg(F.min("gm_id").alias("gm_least"), *slim), "nodes")
     filled = nodes.filter("gm_n > 0")
-    sets = prints.select("gm_node", "gm_set")
+    rows = id_and_text(df, id_col, text_col)
     found, one = _compared(filled.withColumn("gm_root", F.col("gm_node")), columns, masks, likely, block)
     pairs, two = _few(found, "pairs")
-    sure = confirmed(pairs, sets)
+    sure = confirmed(pairs, prints, rows)
     roots, used = components(sure)
     placed, three = stored(filled.join(roots, F.col("gm_node") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "gm_node")).select(*columns), "placed")
     found, four = _compared(placed, columns, masks, candidates, block, "gm_root")
     pairs, five = _few(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    known = _grouped(nodes.select("gm_node", "gm_least"), (sure.union(confirmed(pairs, sets)), one))
+    known = _grouped(nodes.select("gm_node", "gm_least"), (sure.union(confirmed(pairs, prints, rows)), one))
     groups, _ = stored(prints.select("gm_id", "gm_text_hash", "gm_node").join(known, "gm_node").select("gm_id", "gm_text_hash", "component_id"), "groups")
     delete(spark, sets_path, path, two, three, four, five, *used)
     return groups
