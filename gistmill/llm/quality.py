@@ -13,13 +13,16 @@ is not given: a first classifier of P against U ranks held-back rows, and the pr
 least ratio, over thresholds, of the (bounded) shares of U and of P above the threshold.
 The score is the logistic function of g.
 
-Both samples are chosen by a hash of the id, so they don't depend on partitions; features
-are made on the executors and only their vectors reach the driver.
+Both samples are of distinct (id, text) pairs, chosen by a hash of the pair: a threshold of 63 bits
+that leaves about twice what is wanted, then the least hashes of those.  So they don't depend on
+partitions, don't run empty in large tables, and are bounded exactly, whatever repeats.  Features are
+made on the executors and only those of the samples reach the driver.
 
 Defined cases.  Null and empty texts have zero features and are scored by them.  Rows of
-labels with a null label don't count; an id with several labels counts as good if one
-says so.  With no positive rows the score is 0.5 for all.  Repeated rows give repeated
-results.  Empty tables give empty results.  Other columns are ignored, whatever their names.
+labels with a null label or id don't count; an id with several labels counts as good if one
+says so.  With fewer than two positive or unlabelled pairs the score is 0.5 for all.  Repeated rows are
+learnt from once and give repeated results.  Texts are read whole, however long.  Empty tables give
+empty results.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import documents, id_and_text, small_batches, texts
+from gistmill.llm.common import delete, documents, id_and_text, small_batches, stored, texts
 from gistmill.llm.langid import fold
 
 #: Byte classes whose shares are features.
@@ -92,6 +95,29 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
+def risks(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * R_P(+1) and R_U(-1) - prior * R_P(-1), of which the second may be negative, from logits of P and of U."""
+    return prior * float(np.logaddexp(0, -gp).mean()), float(np.logaddexp(0, gu).mean()) - prior * float(np.logaddexp(0, gp).mean())
+
+
+def gradient(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, prior: float | None) -> dict[str, np.ndarray]:
+    """The gradient, by each weight, of the non-negative risk of standardised rows ``a`` of P and ``b`` of U: that of both
+    terms while the second is not negative, else that of minus the second.  With ``prior`` None, of telling P from U."""
+    x = np.concatenate([a, b])
+    h = np.maximum(x @ p["w1"] + p["b1"], 0)
+    g = h @ p["w2"] + p["b2"][0]
+    sp, su = _sigmoid(g[: len(a)]), _sigmoid(g[len(a) :])
+    # loss(-1, g) = log(1 + e^g), its slope is sigmoid(g); loss(+1, g) has slope sigmoid(g) - 1
+    if prior is None:
+        d = np.concatenate([(sp - 1) / len(a), su / len(b)])
+    elif risks(g[: len(a)], g[len(a) :], prior)[1] >= 0:
+        d = np.concatenate([(prior * (sp - 1) - prior * sp) / len(a), su / len(b)])
+    else:
+        d = np.concatenate([prior * sp / len(a), -su / len(b)])
+    dh = np.outer(d, p["w2"]) * (h > 0)
+    return {"w1": x.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": np.array([d.sum()])}
+
+
 def fit_network(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 1500, hidden: int = 24, seed: int = 3) -> Model:
     """Minimise the non-negative PU risk; with ``prior`` None, tell P from U instead."""
     rng = np.random.default_rng(seed)
@@ -101,26 +127,11 @@ def fit_network(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: in
     s = {k: np.zeros_like(v) for k, v in p.items()}
     zp, zu = (np.clip((x - mean) / scale, -6, 6) for x in (pos, unl))
     for step in range(1, steps + 1):
-        a = zp[rng.integers(0, len(zp), 256)]
-        b = zu[rng.integers(0, len(zu), 512)]
-        x = np.concatenate([a, b])
-        h = np.maximum(x @ p["w1"] + p["b1"], 0)
-        g = h @ p["w2"] + p["b2"][0]
-        sp, su = _sigmoid(g[:256]), _sigmoid(g[256:])
-        if prior is None:
-            d = np.concatenate([(sp - 1) / 256, su / 512])
-        else:
-            # loss(-1, g) = log(1 + e^g), its slope is sigmoid(g); loss(+1, g) has slope sigmoid(g) - 1
-            negative = np.logaddexp(0, g[256:]).mean() - prior * np.logaddexp(0, g[:256]).mean()
-            if negative >= 0:
-                d = np.concatenate([(prior * (sp - 1) - prior * sp) / 256, su / 512])
-            else:
-                d = np.concatenate([prior * sp / 256, -su / 512])
-        dh = np.outer(d, p["w2"]) * (h > 0)
-        grad = {"w1": x.T @ dh + 1e-4 * p["w1"], "b1": dh.sum(0), "w2": h.T @ d + 1e-4 * p["w2"], "b2": np.array([d.sum()])}
+        grad = gradient(p, zp[rng.integers(0, len(zp), 256)], zu[rng.integers(0, len(zu), 512)], prior)
         for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            s[k] = 0.999 * s[k] + 0.001 * grad[k] ** 2
+            pull = grad[k] + 1e-4 * p[k] if k[0] == "w" else grad[k]
+            m[k] = 0.9 * m[k] + 0.1 * pull
+            s[k] = 0.999 * s[k] + 0.001 * pull**2
             p[k] = p[k] - 0.004 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
     return Model(mean, scale, p["w1"], p["b1"], p["w2"], p["b2"], -1.0 if prior is None else prior)
 
@@ -137,38 +148,57 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(above(b)[best] / max(above(a)[best], 1e-9), 0.02, 0.98))
 
 
-def shapes(df: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    """gm_id, the columns ``extra`` and gm_shape of every row."""
-    rows = df.select(F.col(f"`{id_col}`").alias("gm_id"), F.col(f"`{text_col}`").cast("string").alias("gm_text"), *extra)
+def shapes(rows: DataFrame) -> DataFrame:
+    """gm_shape instead of gm_text; every other column as it is."""
+    names = [n for n in rows.columns if n != "gm_text"]
+    place = rows.columns.index("gm_text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "gm_text") + ", gm_shape array<double>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shape(t).tolist() for t in texts(batch.column(1))], pa.list_(pa.float64()))
-            names = [n for n in batch.schema.names if n != "gm_text"]
+            found = pa.array([shape(t).tolist() for t in texts(batch.column(place))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], found], names=[*names, "gm_shape"])
 
     return rows.mapInArrow(work, schema)
 
 
+def threshold(total: int, wanted: int) -> int:
+    """The bound on a hash of 63 bits below which about twice ``wanted`` of ``total`` rows lie; never zero for a wanted row."""
+    return min((1 << 63) - 1, (2 * wanted << 63) // max(1, total))
+
+
+def _least(df: DataFrame, key: str, salt: str, total: int, wanted: int) -> DataFrame:
+    """At most ``wanted`` distinct values of ``key``, those with the least hashes."""
+    toss = F.xxhash64(F.col(key), F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1))
+    rows = df.select(key, toss.alias("gm_toss")).filter(F.col("gm_toss") <= F.lit(threshold(total, wanted)))
+    return rows.distinct().orderBy("gm_toss", key).limit(wanted).select(key)
+
+
 def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 6000, max_unlabelled: int = 12_000) -> Model | None:
     """Learn from ``docs`` (the unlabelled population) and the ids in ``positives``; None without positives.
 
-    ``max_positive`` bounds the positives exactly, ``max_unlabelled`` the unlabelled rows in expectation.
+    At most ``max_positive`` and ``max_unlabelled`` distinct (id, text) pairs are learnt from.
     """
-    small_batches(docs.sparkSession)
-    order = F.xxhash64(F.col(id_col), F.lit("positive"))
-    chosen = positives.select(id_col).distinct().orderBy(order).limit(max_positive).select(F.col(id_col).alias("gm_pick"), F.lit(True).alias("gm_good"))
-    total = docs.count()
-    if not total:
-        return None
-    toss = F.pmod(F.xxhash64(F.col(id_col), F.lit("unlabelled")), F.lit(1 << 20)) < F.lit(int(min(1.0, max_unlabelled / total) * (1 << 20)))
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("gm_pick"), "left").withColumn("gm_unl", toss)
-    sample = sample.withColumn("gm_good", F.coalesce("gm_good", F.lit(False))).filter("gm_good or gm_unl")
-    rows = shapes(sample, id_col, text_col, ["gm_good", "gm_unl"]).select("gm_good", "gm_unl", "gm_shape").collect()
-    rows = sorted(tuple(r) for r in rows)
-    pos = np.array([r[2] for r in rows if r[0]])
-    unl = np.array([r[2] for r in rows if r[1]])
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = id_and_text(docs, id_col, text_col)
+    keyed = rows.withColumn("gm_key", F.xxhash64("gm_id", "gm_text"))
+    good = positives.select(F.col(f"`{id_col}`").alias("gm_id")).filter("gm_id is not null").distinct()
+    chosen = _least(good, "gm_id", "positive", good.count(), max_positive)
+    total = rows.count()
+    below = F.xxhash64(F.col("gm_key"), F.lit("unlabelled")).bitwiseAND(F.lit((1 << 63) - 1)) <= F.lit(threshold(total, max_unlabelled))
+    marked = keyed.join(F.broadcast(chosen.withColumn("gm_good", F.lit(True))), "gm_id", "left").select("gm_key", F.coalesce("gm_good", F.lit(False)).alias("gm_good"), below.alias("gm_unl"))
+    # narrow and few: what either sample may draw from
+    drawn, path = stored(marked.filter("gm_good or gm_unl").groupBy("gm_key").agg(F.max("gm_good").alias("gm_good"), F.max("gm_unl").alias("gm_unl")), "drawn")
+    pos_keys = _least(drawn.filter("gm_good"), "gm_key", "positive", drawn.filter("gm_good").count(), max_positive).withColumn("gm_good", F.lit(True))
+    unl_keys = _least(drawn.filter("gm_unl"), "gm_key", "unlabelled", 1, max_unlabelled).withColumn("gm_unl", F.lit(True))
+    keys = pos_keys.join(unl_keys, "gm_key", "full").select("gm_key", F.coalesce("gm_good", F.lit(False)).alias("gm_good"), F.coalesce("gm_unl", F.lit(False)).alias("gm_unl"))
+    sample = shapes(keyed.join(F.broadcast(keys), "gm_key").select("gm_key", "gm_good", "gm_unl", "gm_text"))
+    got = sample.groupBy("gm_key").agg(F.first("gm_good"), F.first("gm_unl"), F.first("gm_shape")).collect()
+    delete(spark, path)
+    got = sorted(tuple(r) for r in got)
+    pos = np.array([r[3] for r in got if r[1]])
+    unl = np.array([r[3] for r in got if r[2]])
     if len(pos) < 2 or len(unl) < 2:
         return None
     shuffle = np.random.default_rng(5)

@@ -1,6 +1,7 @@
 """Language ID, quality and the tokenizer: held-out accuracy, the library's own results, odd rows."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -72,6 +73,73 @@ def test_prior_and_risk():
     assert (model.score(pos) > 0.5).mean() > 0.95 and (model.score(neg) < 0.5).mean() > 0.95
 
 
+def test_risk_and_gradient_by_brute_force():
+    """The risk by its formula, row by row, and its gradient by differences, on both sides of zero."""
+    rng = np.random.default_rng(4)
+    p = {"w1": rng.normal(0, 0.5, (Q.SIZE, 3)), "b1": rng.normal(0, 0.1, 3), "w2": rng.normal(0, 0.5, 3), "b2": np.array([0.2])}
+    pool = rng.normal(0, 2, (400, Q.SIZE))
+    pool = pool[np.argsort(np.maximum(pool @ p["w1"] + p["b1"], 0) @ p["w2"])]
+    a, b = pool[-7:], pool[190:199]
+
+    def logit(x, w):
+        hidden = [max(0.0, sum(x[i] * w["w1"][i][j] for i in range(Q.SIZE)) + w["b1"][j]) for j in range(3)]
+        return sum(h * v for h, v in zip(hidden, w["w2"])) + w["b2"][0]
+
+    loss = lambda sign, g: math.log(1 + math.exp(-sign * g))
+    mean = lambda v: sum(v) / len(v)
+    signs = set()
+    for prior in (0.05, 0.97):
+        for rows_b in (b, pool[:9]):
+
+            def terms(w):
+                gp, gu = [logit(x, w) for x in a], [logit(x, w) for x in rows_b]
+                return prior * mean([loss(1, g) for g in gp]), mean([loss(-1, g) for g in gu]) - prior * mean([loss(-1, g) for g in gp])
+
+            gp, gu = (np.array([logit(x, p) for x in rows]) for rows in (a, rows_b))
+            assert Q.risks(gp, gu, prior) == pytest.approx(terms(p))
+            signs.add(terms(p)[1] >= 0)
+            aim = lambda w: sum(terms(w)) if terms(p)[1] >= 0 else -terms(w)[1]  # noqa: E731, B023
+            got = Q.gradient(p, a, rows_b, prior)
+            for k, at in (("w1", (2, 1)), ("w1", (20, 0)), ("b1", (2,)), ("w2", (0,)), ("w2", (2,)), ("b2", (0,))):
+                up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+                up[k][at] += 1e-6
+                down[k][at] -= 1e-6
+                assert got[k][at] == pytest.approx((aim(up) - aim(down)) / 2e-6, rel=1e-3, abs=1e-6)
+    assert signs == {True, False}
+
+
+def test_scores_equal_a_plain_network(spark):
+    rng = np.random.default_rng(5)
+    model = Q.Model(rng.random(Q.SIZE), rng.random(Q.SIZE) + 0.1, rng.normal(0, 0.3, (Q.SIZE, 4)), rng.normal(0, 0.1, 4), rng.normal(0, 0.5, 4), np.array([0.1]), 0.5)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        x = Q.shape(r.text.encode())
+        z = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+        h = [max(0.0, sum(z[i] * model.w1[i][j] for i in range(Q.SIZE)) + model.b1[j]) for j in range(4)]
+        want[r.doc_id] = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(h, model.w2)) + model.b2[0])))
+    assert {r.gm_id: r.score for r in Q.score(docs, model).collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("total", [1, 12_000, 7_000_000_000, 12_582_912_000, 10**11, 10**15])
+def test_samples_never_run_empty(total):
+    share = Q.threshold(total, 12_000) / (1 << 63)
+    assert share * total >= 2 * 12_000 * 0.999 or share > 0.999
+
+
+def test_samples_are_bounded(spark):
+    """One id for all rows, null ids, many equal rows, and columns named as those that fit() makes."""
+    rows = [(7, f"text number {i} of the id", 1) for i in range(300)] + [(None, "the same words again", 1)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, gm_good int").selectExpr("*", "1 as gm_unl", "2 as gm_pick", "3 as gm_id", "4 as gm_key", "5 as gm_text", "6 as score")
+    seen = []
+    known, Q.fit_network = Q.fit_network, lambda pos, unl, *a, **k: seen.append((len(pos), len(unl))) or known(pos, unl, *a, **k)
+    try:
+        assert Q.fit(df, spark.createDataFrame([(7,)], "doc_id long"), max_positive=20, max_unlabelled=40) is not None
+    finally:
+        Q.fit_network = known
+    assert seen[-1] == (20, 40)
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "ok words here"), (3, "ok words here"), (4, "w " * 500_000), (5, " \n\t ")]
     df = spark.createDataFrame([(*r, 9.0) for r in rows], "doc_id long, text string, score double")
