@@ -9,8 +9,8 @@ too short are dropped:
 
 Confirmed kinds are reported only if what they encode parses:
 
-* ``jwt``: three base64url parts joined by dots; the first two decode to JSON objects and
-  the first names an ``alg``;
+* ``jwt``: three base64url parts joined by dots, of which the last may be empty; the first two decode to JSON
+  objects, however spaced, and the first names an ``alg``;
 * ``pem``: a private-key block whose body is base64 of a confirmed key (or, for encrypted
   legacy blocks, follows ``Proc-Type``);
 * ``der``: base64 or hex (of either case) outside such blocks that decodes to an ASN.1 SEQUENCE whose
@@ -52,7 +52,10 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Three parts, of which the first may be glued to what stands before it; its characters that a brace or white space may start with.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{11,}+)(?=\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+))")
+_JWT_START = re.compile(r"[CDIe](?=[A-Za-z0-9_-]{10})")
+_JSON, _JSON_SPACE = json.JSONDecoder(), re.compile(r"[\x20\t\r\n]*")
 #: A line end, also one escaped once or more as in JSON, and the next line's indentation.
 _BREAK = r"(?:\r?\n|\\+(?:[nrt]|u000[aAdD]))+[\x20\t]*"
 _BREAKS = re.compile(_BREAK)
@@ -210,22 +213,44 @@ def _run_spans(run: str, nested: int) -> list[tuple[int, int, str]]:
     return found
 
 
-def _object(part: str) -> dict | None:
-    raw = unbase64(part)
+def _object(raw: bytes | None) -> dict | None:
     try:
-        value = json.loads(raw) if raw else None
+        value = json.loads(raw) if raw and raw.lstrip()[:1] == b"{" else None
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
 
+def _token_start(run: str) -> int:
+    """The first place in a run of base64url from which it decodes to an object that names an ``alg``; -1 if there is none.
+
+    The run is decoded once for each of the four places at which a group may start, and parsed from each brace only as far as it is JSON.
+    """
+    views: dict[int, tuple[bytes, str]] = {}
+    for start in _JWT_START.finditer(run):
+        at = start.start()
+        if at % 4 not in views:
+            raw = unbase64(run[at % 4 :]) or b""
+            views[at % 4] = raw, raw.decode("latin-1")
+        raw, text = views[at % 4]
+        place = at // 4 * 3
+        brace = _JSON_SPACE.match(text, place).end()
+        if text[brace : brace + 1] != "{":
+            continue
+        try:
+            end = _JSON.raw_decode(text, brace)[1]
+        except (ValueError, RecursionError):
+            continue
+        if _JSON_SPACE.fullmatch(text, end) and (head := _object(raw[place:])) and isinstance(head.get("alg"), str):
+            return at
+    return -1
+
+
 def confirmed_spans(text: str, nested: int = 1) -> list[tuple[int, int, str]]:
     found = []
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            head = _object(m[1])
-            if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
-                found.append((m.start(), m.end(), "jwt"))
+    for m in _JWT.finditer(text):
+        if _object(unbase64(m[2])) is not None and (at := _token_start(m[1])) >= 0:
+            found.append((m.start() + at, m.end(3), "jwt"))
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 from hypothesis import given
@@ -130,3 +131,59 @@ def test_escaped_glued_and_nested_keys():
         assert S.confirmed_spans(f'"{lines}"') == [(1, 1 + len(lines), kind)]
     assert kinds("k 0x" + pkcs1().hex().upper() + " z") == ["der"]
     assert kinds("k " + b64(b"-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----") + " z") == []
+
+
+def test_tokens_are_told_by_decoding():
+    """Headers with any spacing and glued ones are tokens; dotted words and parts that are no objects are not."""
+    part = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    for head in ('{"alg":"none"}', '{ "alg" : "HS256" }', '{\n  "alg": "HS256",\n  "typ": "JWT"\n}', '\t{"alg":"x"}', '\r\n{"typ":"JWT","alg":"RS256"}', ' {"alg":"é"}'):
+        for body in ("{}", '{ "sub": 1 }', '\n{"sub":"x"}'):
+            for last in ("", "c2lnbmF0dXJl"):
+                token = f"{part(head)}.{part(body)}.{last}"
+                assert S.confirmed_spans(f"t {token} z") == [(2, 2 + len(token), "jwt")], (head, body, last)
+    token = f"{part('{\"alg\":\"HS256\"}')}.{part('{}')}.abc"
+    assert S.confirmed_spans(f"Bearer{token}") == [(6, 6 + len(token), "jwt")]
+    assert S.confirmed_spans(f"averylongname.{token}") == [(14, 14 + len(token), "jwt")]
+    for text in ("internationalisation.example.com", f"{part('[1, 2, 3, 4]')}.{part('{}')}.x", f"{part('{\"alg\": 5, \"x\": 1}')}.{part('{}')}.x", f"{part('{\"alg\":\"HS256\"}')}.{part('[]')}.x"):
+        assert kinds(text) == []
+
+
+def plain_confirmed(text):
+    """Tokens and keys restated: every substring of the right alphabet is tried, the longest from the leftmost start."""
+    found, at = [], 0
+    while at < len(text):
+        best = None
+        for end in range(len(text), at, -1):
+            parts = text[at:end].split(".")
+            if len(parts) != 3 or not all(re.fullmatch("[A-Za-z0-9_-]*", p) for p in parts):
+                continue
+            values = []
+            for p in parts[:2]:
+                try:
+                    values.append(json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))))
+                except ValueError:
+                    values.append(None)
+            if isinstance(values[0], dict) and isinstance(values[1], dict) and isinstance(values[0].get("alg"), str):
+                best = end
+                break
+        if best:
+            found.append((at, best, "jwt"))
+            at = best
+        else:
+            at += 1
+    return found
+
+
+TOKEN_PIECES = [base64.urlsafe_b64encode(t).decode().rstrip("=") for t in (b'{"alg":"HS256"}', b'{ "alg": "a" }', b"{}", b'{"a":1}', b"[]", b"words only")] + [".", ".", " ", "x", "e", "I", "-"]
+
+
+@given(st.lists(st.sampled_from(TOKEN_PIECES), max_size=9))
+def test_tokens_equal_plain(parts):
+    text = "".join(parts)
+    assert [s for s in S.confirmed_spans(text) if s[2] == "jwt"] == plain_confirmed(text)
+
+
+def test_long_runs_are_scanned_once():
+    began = time.time()
+    text = ("QUJD" * 300_000 + ".x ") + ("eyJh" * 100_000 + ".e30.") + "a" * 400_000 + ".b" * 100_000
+    assert "jwt" not in kinds(text) and time.time() - began < 20
