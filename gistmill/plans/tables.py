@@ -81,6 +81,12 @@ def delete(spark: SparkSession, *paths: str) -> None:
         where.delete(at, True)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored table."""
+    at, where = _place(spark, path)
+    return where.getContentSummary(at).getLength()
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Every stored table that is made inside is gone at the end: for results that are written out, or collected, inside."""
