@@ -13,24 +13,26 @@ vectors: that table's mask drops every differing bit.  Hence every pair within r
 bits meets in one of 2^(r+1)-1 tables: recall is 1 by construction.
 
 Scale.  Equal fingerprints are merged before anything is shuffled by cell, so
-thousands of exact copies are one node.  A crowded cell is cut into blocks of about
-``block`` nodes, and pairs of blocks are compared in separate tasks; a task returns
-a spanning forest of the links it found, never all pairs.  Components are found by
+thousands of exact copies are one node.  A cell is cut into blocks of bounded rows and bytes, whose nodes are
+compared inside one task, which returns a spanning forest of the links it found, never all pairs.  Cells of one block are
+done then.  In a larger cell most links are found by now, as blocks differ from cell to cell: its nodes outside the largest component
+of the cell are compared with that component's, and with each other, block by block, and only links between
+different components are returned.  SimHash cells are cut finer before that, by covering masks of the bits that
+the cell's mask leaves free; what shares two masks has at most 2^17 fingerprints.  Components are found by
 alternating star contraction on stored tables.
 
 ``near_groups`` links two texts if the Jaccard similarity of their sets of 5-word shingles is 0.8 or
-more.  A set is held as XXH3-64 hashes, and texts of one set are one node.  Candidates come from 160 MinHashes,
-one byte each: 40 bands of 4 name the cells, and a pair of one cell is a candidate if at least 96 of
-160 agree and its sizes allow 0.8.  A pair of similarity 0.8 is missed with a probability under 1e-8, whatever the
-kind of edit, as MinHashes know the similarity alone.  Every link is then confirmed on the whole sets: first a spanning forest of
-each cell's likely pairs (128 of 160), and, as a forest has no alternative where an edge fails, then all candidate pairs
-that the confirmed edges leave in different components.
+more.  Texts of one set (by a 128-bit hash) are one node.  Candidates come from 80 MinHashes,
+one byte each: 20 bands of 4 name the cells, and a pair of one cell is compared as a whole if at least 48 of
+80 agree and its sizes allow 0.8.  By calculation a pair of similarity 0.8 is missed with a probability of 3e-5, more similar ones of far less, whatever the
+kind of edit, as MinHashes know the similarity alone.  The comparison is of the whole sets, as 48-bit hashes, inside the task that holds the cell's block:
+only texts that share a cell with another are read for it.
 
 Defined cases.  A null or empty text, or one of white space, has fingerprint zero
 and is linked like any other.  Repeated rows are kept, one result row each.  A row
 whose id is null keeps a null id and does not lend it to its component; a component
-of such rows only has a null component_id.  An empty table gives an empty result.
-Other columns are ignored, whatever their names.
+of such rows only has a null component_id.  Very long texts are read whole; a block holds few of them.  An empty table gives an empty result.
+Other columns are ignored by the groups and kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,15 +42,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import delete, documents, id_and_text, small_batches, stored, texts
+from gistmill.llm.common import delete, documents, id_and_text, size_of, small_batches, stored, texts
 
 SEED = 42
-#: MinHashes of near_groups: a cell is a band of ROWS; LEAST of all agree in a candidate, LIKELY where 0.8 is expected.
-BANDS, ROWS, LEAST, LIKELY = 40, 4, 96, 128
+#: MinHashes of near_groups: a cell is a band of ROWS; LEAST of all agree in a pair that is compared.
+BANDS, ROWS, LEAST = 20, 4, 48
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Rows and bytes of a block of nodes.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 _BITS = np.array([[(byte >> bit) & 1 for bit in range(8)] for byte in range(256)], dtype=np.int64)
 
 
@@ -95,12 +99,12 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
 
 
 def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """A byte of each of the ``BANDS * ROWS`` MinHashes of a set, in longs of 8."""
+    """A byte of each of the ``BANDS * ROWS`` MinHashes of a set."""
     least = np.full(len(_FACTORS), 0xFFFFFFFF, dtype=np.uint32)
     high = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(high), 1024):
         np.minimum(least, (_FACTORS[:, None] * high[None, at : at + 1024]).min(axis=1), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view("<i8")
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
 def _signed(value: int) -> int:
@@ -121,131 +125,80 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(work, f"gm_id {kind}, gm_fp long")
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2^(radius+1)-1 masks of 64 bits; any two words within ``radius`` bits agree under one of them."""
+def covering_masks(radius: int, bits: int = -1) -> list[int]:
+    """2^(radius+1)-1 masks of some of the set ``bits`` of 64; any two words within ``radius`` bits agree under one of them."""
     top = (1 << (radius + 1)) - 1
-    vectors = [i % top + 1 for i in range(64)]
-    return [_signed(sum(1 << i for i, f in enumerate(vectors) if (f & v).bit_count() & 1)) for v in range(1, top + 1)]
-
-
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with the boolean matrix ``near``."""
-    free = np.ones(len(near), dtype=bool)
-    edges: list[tuple[int, int]] = []
-    for root in range(len(near)):
-        if not free[root]:
-            continue
-        free[root] = False
-        queue = [root]
-        while queue:
-            at = queue.pop()
-            fresh = np.flatnonzero(near[at] & free)
-            free[fresh] = False
-            queue += fresh.tolist()
-            edges += [(at, x) for x in fresh.tolist()]
-    return edges
+    places = [i for i in range(64) if bits >> i & 1]
+    return [_signed(sum(1 << i for n, i in enumerate(places) if (n % top + 1 & v).bit_count() & 1)) for v in range(1, top + 1)]
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which fingerprints of a and b are linked."""
-    return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+# ---------------------------------------------------------------- links inside one task
 
+#: Tells which of the rows ``others`` the row ``at`` is linked to.
+Near = Callable[[int, np.ndarray], np.ndarray]
 
-def links(nodes: DataFrame, radius: int = 4, block: int = 512) -> tuple[DataFrame, str]:
-    """Edges (a, b) between the longs ``gm_node``, enough to connect all that lie within ``radius`` bits, and the path of a table they read."""
 
-    def work(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
-        near = _near(a[:, 0], a[:, 0] if b is None else b[:, 0], radius)
-        if b is not None:
-            both = np.zeros((len(a) + len(b),) * 2, dtype=bool)
-            both[: len(a), len(a) :], both[len(a) :, : len(a)] = near, near.T
-            near, a = both, np.concatenate([a, b])
-        return forest(near)
+def forest(n: int, near: Near) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among rows 0 to n - 1."""
+    free, edges = np.arange(n), []
+    while len(free) > 1:
+        queue, free = [int(free[0])], free[1:]
+        while queue and len(free):
+            at = queue.pop()
+            hit = near(at, free)
+            edges += [(at, x) for x in free[hit].tolist()]
+            queue += free[hit].tolist()
+            free = free[~hit]
+    return edges
 
-    return _compared(nodes, ["gm_node"], [("gm_node", m) for m in covering_masks(radius)], work, block)
 
+def bridges(left: np.ndarray, right: np.ndarray, label: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and of ``right`` that join different labels, at most one for each two labels that it joins."""
+    label, edges = label.copy(), []
+    for at in left.tolist():
+        others = right[label[right] != label[at]]
+        for x in others[near(at, others)].tolist() if len(others) else []:
+            if label[x] != label[at]:
+                edges.append((at, x))
+                label[label == label[x]] = label[at]
+    return edges
 
-def _compared(nodes: DataFrame, columns: list[str], masks: list[tuple[str, int]], pairs: Callable, block: int, label: str = "gm_node") -> tuple[DataFrame, str]:
-    """Distinct edges (a, b) of nodes that share a cell, a column under a mask, but not the ``label``; and the path of a table they read.
 
-    ``pairs`` takes the matrix of ``columns`` (``gm_node`` first) of one block, or of two, and returns pairs of rows of both.
-    """
-    # A cell is named by the hash of its table and masked word; should two names meet, their nodes are compared in vain.
-    names = [F.xxhash64(F.lit(t), F.col(k).bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(masks)]
-    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
-    cells = spread.select(*dict.fromkeys(["gm_node", label]), F.explode(F.array(*names)).alias("gm_cell"))
-    # stored, so that both sides of the join are plain exchanges, which Spark splits where a cell is hot
-    counted = cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n"), F.min(label).alias("gm_low"), F.max(label).alias("gm_high"))
-    crowded, path = stored(counted.filter("gm_n > 1 AND gm_low < gm_high").select("gm_cell", F.col("gm_n").alias("gm_met")), "crowded")
-    met = cells.select("gm_node", "gm_cell").join(crowded, "gm_cell")
-    parts = F.ceil(F.col("gm_met") / F.lit(block)).cast("int")
-    met = met.withColumn("gm_parts", parts).withColumn("gm_part", F.pmod(F.xxhash64("gm_node"), F.col("gm_parts")).cast("int"))
-    met = met.withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_parts") - 1)))
-    if columns != ["gm_node"]:  # what is compared joins only the rows of crowded cells
-        met = met.join(nodes.select(*columns), "gm_node")
-    i, j = F.least("gm_part", "gm_other"), F.greatest("gm_part", "gm_other")
-    row = F.struct(*[F.col(c).cast("long").alias(f"c{n}") for n, c in enumerate(columns)])
-    met = met.select("gm_cell", "gm_part", row.alias("gm_row"), i.alias("gm_i"), j.alias("gm_j"))
-    here = lambda test: F.collect_list(F.when(test, F.col("gm_row")))
-    groups = met.groupBy("gm_cell", "gm_i", "gm_j").agg(
-        here(F.col("gm_part") == F.col("gm_i")).alias("gm_left"), here((F.col("gm_part") == F.col("gm_j")) & (F.col("gm_i") != F.col("gm_j"))).alias("gm_right")
-    )
+def _prints_near(rows: pa.StructArray, radius: int) -> Near:
+    node = rows.field("gm_node").to_numpy(zero_copy_only=False).view(np.uint64)
+    return lambda at, others: np.bitwise_count(node[others] ^ node[at]) <= radius
 
-    def matrix(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
-        rows = column.flatten()
-        return np.stack([rows.field(f"c{c}").to_numpy(zero_copy_only=False) for c in range(len(columns))], axis=1).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            same = [x == y for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            (left, at), (right, to) = matrix(batch.column(2)), matrix(batch.column(3))
-            for r, alone in enumerate(same):
-                a, b = left[at[r] : at[r + 1]], right[to[r] : to[r + 1]]
-                if len(a) + len(b) < 2 or (not alone and not (len(a) and len(b))):
-                    continue
-                name = np.concatenate([a[:, 0], b[:, 0]]).view(np.int64)
-                out += [(int(name[x]), int(name[y])) for x, y in pairs(a, None if alone else b)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _sets_near(rows: pa.StructArray) -> Near:
+    """Similarity of 0.8 or more, of sets as sorted 48-bit hashes; only of pairs whose sizes and MinHashes allow it."""
+    raw = rows.field("gm_set").to_pylist()
+    size = np.array([len(r) // 6 for r in raw])
+    marks = np.frombuffer(b"".join(rows.field("gm_marks").to_pylist()), dtype=np.uint8).reshape(len(raw), -1)
+    sets: dict[int, np.ndarray] = {}
 
-    found = groups.select("gm_i", "gm_j", "gm_left", "gm_right").mapInArrow(work, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path
+    def read(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = unpacked(raw[i])
+        return sets[i]
 
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        likely = 5 * np.minimum(size[others], size[at]) >= 4 * np.maximum(size[others], size[at])
+        likely[likely] = np.count_nonzero(marks[others[likely]] == marks[at], axis=1) >= LEAST
+        likely[likely] = [similar(read(at), read(x)) for x in others[likely].tolist()]
+        return likely
 
-def _sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of two sizes allow a similarity of 0.8."""
-    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+    return near
 
 
-def likely(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of which LIKELY MinHashes agree; columns: node, size, component, MinHashes."""
-    rows = a if b is None else np.concatenate([a, b])
-    size, marks = rows[:, 1].astype(np.int64), np.ascontiguousarray(rows[:, 3:]).view(np.uint8)
-    free = np.argsort(rows[:, 0].view(np.int64))  # the least node is the root, in every cell alike
-    edges: list[tuple[int, int]] = []
-    while len(free) > 1:
-        queue, free = [free[0]], free[1:]
-        while queue and len(free):
-            at = queue.pop()
-            near = _sized(size[free], size[at]) & (np.count_nonzero(marks[free] == marks[at], axis=1) >= LIKELY)
-            edges += [(at, x) for x in free[near]]
-            queue += free[near].tolist()
-            free = free[~near]
-    return edges
+def packed(hashes: np.ndarray) -> bytes:
+    """A sorted set of 48-bit hashes, six bytes each."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def candidates(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
-    """All pairs of two components of which LEAST MinHashes agree; columns as in ``likely``."""
-    other = a if b is None else b
-    fit = _sized(a[:, None, 1].astype(np.int64), other[None, :, 1].astype(np.int64)) & (a[:, None, 2] != other[None, :, 2])
-    x, y = np.nonzero(np.triu(fit, 1) if b is None else fit)
-    left, right = (np.ascontiguousarray(m[:, 3:]).view(np.uint8) for m in (a, other))
-    found: list[tuple[int, int]] = []
-    for at in range(0, len(x), 1 << 14):
-        i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-        near = np.count_nonzero(left[i] == right[j], axis=1) >= LEAST
-        found += zip(i[near].tolist(), (j[near] + (0 if b is None else len(a))).tolist())
-    return found
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -255,36 +208,124 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(both) - common)
 
 
-def confirmed(edges: DataFrame, prints: DataFrame, rows: DataFrame, width: int = 5) -> DataFrame:
-    """Those of ``edges`` whose sets are similar.  ``prints`` names a node's texts by hash; only these of ``rows`` are read again."""
-    ends, first = _few(edges.select(F.explode(F.array("a", "b")).alias("gm_node")).distinct(), "ends")
-    wanted, second = _few(prints.join(ends, "gm_node").groupBy("gm_node").agg(F.min("gm_text_hash").alias("gm_text_hash")), "wanted")
-    found = rows.select("gm_text", F.xxhash64("gm_text").alias("gm_text_hash")).join(wanted, "gm_text_hash").select("gm_node", "gm_text")
+# ---------------------------------------------------------------- links over cells
+
+
+def _parts(rows: str, size: str, block: int) -> Column:
+    """How many blocks rows of so many bytes make."""
+    return F.greatest(F.ceil(F.col(rows) / F.lit(block)), F.ceil(F.col(size) / F.lit(float(BLOCK_BYTES)))).cast("int")
 
-    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [shingle_set(t, width).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["gm_node", "gm_set"])
 
-    sets = found.mapInArrow(read_sets, "gm_node long, gm_set binary")
-    known, path = stored(sets.groupBy("gm_node").agg(F.first("gm_set").alias("gm_set")), "sets")
-    side = lambda k: known.select(F.col("gm_node").alias(k), F.col("gm_set").alias(f"gm_{k}"))
+def _met(cells: DataFrame, block: int) -> tuple[DataFrame, str]:
+    """The rows (gm_node, gm_size, gm_t, gm_cell) of ``cells`` that share a cell, and gm_parts, the blocks of the cell; stored."""
+    # crowded cells are stored, so that both sides of the join are plain exchanges, which Spark splits where a cell is hot
+    counted = cells.groupBy("gm_cell").agg(F.count("*").alias("gm_n"), F.sum("gm_size").alias("gm_sum"))
+    crowded, path = stored(counted.filter("gm_n > 1").select("gm_cell", _parts("gm_n", "gm_sum", block).alias("gm_parts")), "crowded")
+    met = stored(cells.join(crowded, "gm_cell"), "met")
+    delete(cells.sparkSession, path)
+    return met
+
+
+def _mapped(groups: DataFrame, links_of: Callable) -> DataFrame:
+    """Distinct edges (a, b) that ``links_of(rows, n_left)`` finds in the rows gm_left and gm_right of every group."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda v: np.frombuffer(v.as_buffer(), dtype="<u8")
-            keep = [similar(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out: list[tuple[int, int]] = []
+            (left, at), (right, to) = ((c.flatten(), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]).tolist()) for c in batch.columns)
+            for r in range(batch.num_rows):
+                a, b = left[at[r] : at[r + 1]], right[to[r] : to[r + 1]]
+                if len(a) + len(b) > 1:
+                    rows = pa.concat_arrays([a, b]) if len(b) else a
+                    node = rows.field("gm_node").to_numpy(zero_copy_only=False)
+                    out += [(int(node[x]), int(node[y])) for x, y in links_of(rows, len(a)) if node[x] != node[y]]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "gm_a", "gm_b")
-    found, _ = _few(both.mapInArrow(work, "a long, b long"), "confirmed")
-    delete(edges.sparkSession, path, first, second)
-    return found
+    found = groups.select("gm_left", "gm_right").mapInArrow(work, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _few(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``stored`` for narrow rows that are few beside the documents: an eighth of the shuffle's partitions, so fewer files."""
-    return stored(df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
+def _linked(cells: DataFrame, wide: DataFrame | Callable, near: Callable[[pa.StructArray], Near], block: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, str]:
+    """Edges (a, b) enough to connect all nodes that share a cell and are ``near``; stored, and its path.
+
+    ``cells``: gm_node, gm_size (bytes of its row of ``wide``), gm_t (the table) and gm_cell.  ``wide``: gm_node and what ``near``
+    compares, or a function that reads it for the nodes that share a cell at all.  ``finer`` makes the cells of rows of large cells.
+    """
+    spark = cells.sparkSession
+    met, met_path = _met(cells, block)
+    rows, wide_path = wide(met) if callable(wide) else (wide, None)
+    names = rows.columns
+    row = F.struct(*names)
+    joined = lambda df: df.join(rows, "gm_node") if names != ["gm_node"] else df
+
+    # every block of every cell by itself: all of a cell that is one block
+    part = F.pmod(F.xxhash64("gm_node", "gm_cell"), F.col("gm_parts"))
+    blocks = joined(met.select("gm_node", "gm_cell", part.alias("gm_part"))).groupBy("gm_cell", "gm_part")
+    groups = blocks.agg(F.collect_list(row).alias("gm_left"), F.array().cast("array<struct<gm_node:bigint>>").alias("gm_right"))
+    first, path = _few(_mapped(groups, lambda r, n: forest(len(r), near(r))), "links", met_path)
+    spent = [p for p in (met_path, wide_path) if p]
+    large = met.filter("gm_parts > 1")
+    if large.isEmpty():
+        delete(spark, *spent)
+        return first, path
+
+    # cells of several blocks: nodes outside the cell's largest component with those inside, and with each other
+    roots, used = components(first)
+    if finer is not None:
+        fine, fine_path = _met(finer(large), block)
+        large, spent = fine, [*spent, fine_path]
+    labelled = large.join(roots, F.col("gm_node") == F.col("node"), "left").select("gm_node", "gm_size", "gm_cell", F.coalesce("root", "gm_node").alias("gm_root"))
+    kept, kept_path = stored(labelled, "labelled")
+    sums = kept.groupBy("gm_cell", "gm_root").agg(F.count("*").alias("n"), F.sum("gm_size").alias("s"))
+    sums = sums.groupBy("gm_cell").agg(F.max_by("gm_root", F.struct("n", "gm_root")).alias("gm_major"), F.max("n").alias("n"), F.max_by("s", F.struct("n", "gm_root")).alias("s"), F.sum("n").alias("gm_n"), F.sum("s").alias("gm_s"))
+    sums = sums.filter("gm_n > n").withColumn("gm_rest", F.col("gm_n") - F.col("n")).withColumn("gm_rest_s", F.col("gm_s") - F.col("s"))
+    sums, sums_path = stored(sums.select("gm_cell", "gm_major", _parts("n", "s", block).alias("gm_p"), _parts("gm_rest", "gm_rest_s", block).alias("gm_q")), "majors")
+    here = kept.join(sums, "gm_cell").withColumn("gm_in", F.col("gm_root") == F.col("gm_major"))
+    mine = F.pmod(F.xxhash64("gm_node", "gm_cell"), F.when(F.col("gm_in"), F.col("gm_p")).otherwise(F.col("gm_q"))).cast("int")
+    here = here.withColumn("gm_mine", mine)
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("gm_in"), F.col("gm_q")).otherwise(F.col("gm_p")) - 1))
+    across = here.withColumn("gm_other", other).select(
+        "gm_node", "gm_root", "gm_cell", F.when(F.col("gm_in"), F.col("gm_mine")).otherwise(F.col("gm_other")).alias("gm_i"),
+        F.when(F.col("gm_in"), F.col("gm_other")).otherwise(F.col("gm_mine")).alias("gm_j"), F.col("gm_in").alias("gm_first"), F.lit(True).alias("gm_across"),
+    )
+    among = here.filter("not gm_in").withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_q") - 1)))
+    i, j = F.least("gm_mine", "gm_other"), F.greatest("gm_mine", "gm_other")
+    among = among.select("gm_node", "gm_root", "gm_cell", i.alias("gm_i"), j.alias("gm_j"), (F.col("gm_mine") == i).alias("gm_first"), F.lit(False).alias("gm_across"))
+    full = joined(across.unionByName(among))
+    side = F.struct(*names, "gm_root")
+    groups = full.groupBy("gm_cell", "gm_across", "gm_i", "gm_j").agg(F.collect_list(F.when(F.col("gm_first"), side)).alias("gm_left"), F.collect_list(F.when(~F.col("gm_first"), side)).alias("gm_right"))
+
+    def joins(rows: pa.StructArray, n: int) -> list[tuple[int, int]]:
+        label, every = rows.field("gm_root").to_numpy(zero_copy_only=False), np.arange(len(rows))
+        return bridges(every[:n], every[n:], label, near(rows)) if n < len(rows) else bridges(every, every, label, near(rows))
+
+    second, second_path = _few(_mapped(groups, joins), "links", kept_path)
+    both, both_path = _few(first.union(second).distinct(), "links", path, second_path)
+    delete(spark, path, second_path, kept_path, sums_path, *spent, *used)
+    return both, both_path
+
+
+def links(nodes: DataFrame, radius: int = 4, block: int = 8 * BLOCK) -> tuple[DataFrame, str]:
+    """Edges (a, b) between the longs ``gm_node``, enough to connect all that lie within ``radius`` bits; stored, and its path."""
+    masks = covering_masks(radius)
+
+    def cells(rows: DataFrame, within: list, masks_of: Column) -> DataFrame:
+        """A cell is named by the hash of its tables and masked word; should two names meet, their nodes are compared in vain."""
+        every = rows.select(*within, F.posexplode(masks_of).alias("gm_t", "gm_mask"))
+        return every.select("gm_node", F.lit(8).cast("long").alias("gm_size"), "gm_t", F.xxhash64(*within[1:], "gm_t", F.col("gm_node").bitwiseAND(F.col("gm_mask"))).alias("gm_cell"))
+
+    finer = F.array(*[F.array(*map(F.lit, covering_masks(radius, ~m))) for m in masks])
+    spread = nodes.select("gm_node").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
+    return _linked(
+        cells(spread, ["gm_node"], F.array(*map(F.lit, masks))), nodes.select("gm_node"), lambda rows: _prints_near(rows, radius), block,
+        lambda large: cells(large.select("gm_node", "gm_cell", F.element_at(finer, F.col("gm_t") + 1).alias("gm_masks")), ["gm_node", "gm_cell"], F.col("gm_masks")),
+    )
+
+
+def _few(df: DataFrame, name: str, *sources: str) -> tuple[DataFrame, str]:
+    """``stored`` for narrow rows that come from the tables at ``sources``: in a file for 16 MB of these, so not in very many."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.coalesce(min(parts, 1 + sum(size_of(df.sparkSession, s) for s in sources) // (16 << 20))), name)
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -295,18 +336,18 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     tables that the result still reads are returned for clean-up.
     """
     spark = edges.sparkSession
-    now, path = _few(edges, "edges")
+    now, path = stored(edges, "edges")
     before: tuple = ()
     while True:
         # the least neighbours are stored too: a join of plain exchanges is split where a node has very many neighbours
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least, one = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least, one = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", path)
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, two = _few(large, "large")
-        least, three = _few(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large, two = _few(large, "large", path)
+        least, three = _few(large.groupBy("u").agg(F.min("v").alias("m")), "least", path)
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"), F.col("m").alias("a"))
         step = small.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh, fresh_path = _few(step, "edges")
+        fresh, fresh_path = _few(step, "edges", path)
         delete(spark, path, one, two, three)
         now, path = fresh, fresh_path
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -315,18 +356,18 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         before = tuple(sums)
 
 
-def _grouped(nodes: DataFrame, edges: tuple[DataFrame, str]) -> DataFrame:
-    """gm_node and component_id, the least gm_least of its component, as a stored table."""
+def _grouped(nodes: DataFrame, edges: tuple[DataFrame, str], *keys: str) -> tuple[DataFrame, str]:
+    """``keys`` of all nodes and component_id, the least gm_least of the component; stored, and its path."""
     roots, used = components(edges[0])
-    placed = nodes.join(roots, F.col("gm_node") == F.col("node"), "left").select("gm_node", "gm_least", F.coalesce("root", "gm_node").alias("gm_root"))
-    least, path = _few(placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")), "least")
-    known, _ = stored(placed.join(least, "gm_root").select("gm_node", "component_id"), "components")
+    placed = nodes.join(roots, F.col("gm_node") == F.col("node"), "left").select(*keys, "gm_least", F.coalesce("root", "gm_node").alias("gm_root"))
+    least, path = _few(placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")), "least", *used)
+    known = stored(placed.join(least, "gm_root").select(*keys, "component_id"), "components")
     delete(nodes.sparkSession, path, edges[1], *used)
     return known
 
 
 def simhash_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, block: int = 512
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, block: int = 8 * BLOCK
 ) -> DataFrame:
     """One row per row of ``df``: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -335,64 +376,90 @@ def simhash_groups(
     """
     prints, _ = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
     nodes = prints.groupBy(F.col("gm_fp").alias("gm_node")).agg(F.min("gm_id").alias("gm_least"))
-    known = _grouped(nodes, links(nodes.select("gm_node"), radius, block))
+    known, _ = _grouped(nodes, links(nodes.select("gm_node"), radius, block), "gm_node")
     return prints.join(known, F.col("gm_fp") == F.col("gm_node")).select(
         F.col("gm_id").alias(id_col), F.lower(F.lpad(F.hex("gm_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-_MARKS = [f"gm_m{k}" for k in range(BANDS * ROWS // 8)]
+_NAMES = [f"gm_b{k}" for k in range(BANDS)]
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
-    """gm_id, gm_text_hash, gm_node (the hash of the shingle set), gm_n (its size) and its MinHashes of every row."""
-    small_batches(df.sparkSession)
-    rows = id_and_text(df, id_col, text_col).withColumn("gm_text_hash", F.xxhash64("gm_text"))
-    names = ["gm_id", "gm_text_hash", "gm_node", "gm_n", *_MARKS]
+def _row_names(df: DataFrame) -> list[Column]:
+    """gm_r1 and gm_r2, 128 bits that name a row with all its columns."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return [F.xxhash64(*plain).alias("gm_r1"), F.xxhash64(F.lit("row"), *plain).alias("gm_r2")]
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """gm_id, gm_text and ``_row_names``."""
+    return df.select(F.col(f"`{id_col}`").alias("gm_id"), F.col(f"`{text_col}`").cast("string").alias("gm_text"), *_row_names(df))
+
+
+def sketches(rows: DataFrame, width: int = 5) -> DataFrame:
+    """gm_id, gm_r1, gm_r2, 128 bits that name the shingle set (gm_k1, gm_k2), gm_n, its size, and its bands of every row of ``_keyed``."""
+    small_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in texts(batch.column(1))]
-            held = [s.tobytes() for s in sets]
-            marks = np.stack([minhashes(s) for s in sets]) if sets else np.zeros((0, len(_MARKS)), dtype="<i8")
-            columns = [pa.array([_signed(xxhash.xxh64_intdigest(h, SEED)) for h in held], pa.int64()), pa.array(map(len, sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *map(pa.array, marks.T)], names=names)
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets), dtype="<i8").reshape(-1, 2)
+            bands = np.stack([minhashes(s) for s in sets]).view("<i4") if sets else np.zeros((0, BANDS), dtype="<i4")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), *map(pa.array, bands.T)],
+                names=["gm_id", "gm_r1", "gm_r2", "gm_k1", "gm_k2", "gm_n", *_NAMES],
+            )
 
     kind = rows.schema["gm_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"gm_id {kind}, gm_text_hash long, gm_node long, gm_n long, " + ", ".join(f"{n} long" for n in _MARKS))
+    return rows.mapInArrow(work, f"gm_id {kind}, gm_r1 long, gm_r2 long, gm_k1 long, gm_k2 long, gm_n long, " + ", ".join(f"{n} int" for n in _NAMES))
+
+
+def _read_sets(rows: DataFrame, nodes: DataFrame, width: int = 5) -> Callable[[DataFrame], tuple[DataFrame, str]]:
+    """For ``_linked``: gm_node, gm_marks and gm_set of the nodes that share a cell, from one text of each, read again."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in texts(batch.column(1))]
+            short = [np.unique(s & np.uint64((1 << 48) - 1)) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([minhashes(s).tobytes() for s in sets], pa.binary()), pa.array(map(packed, short), pa.binary())], names=["gm_node", "gm_marks", "gm_set"]
+            )
+
+    def read(met: DataFrame) -> tuple[DataFrame, str]:
+        wanted = nodes.join(met.select("gm_node").distinct(), "gm_node", "left_semi").select("gm_node", "gm_r1", "gm_r2")
+        chosen = rows.join(wanted, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_node", "gm_text")
+        return stored(chosen.mapInArrow(work, "gm_node long, gm_marks binary, gm_set binary"), "sets")
 
+    return read
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
-    """One row per row of ``df``: gm_id, gm_text_hash and component_id, by similarity of 0.8 or more."""
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per row of ``df``: gm_id, gm_r1 and gm_r2 (128 bits that name the row) and component_id, by similarity of 0.8 or more."""
     spark = df.sparkSession
-    columns, masks = ["gm_node", "gm_n", "gm_root", *_MARKS], [(m, half) for m in _MARKS for half in (0xFFFFFFFF, -1 << 32)]
-    prints, sets_path = stored(sketches(df, id_col, text_col), "sketches")
-    slim = [F.first(c).alias(c) for c in ["gm_n", *_MARKS]]
-    nodes, path = stored(prints.groupBy("gm_node").agg(F.min("gm_id").alias("gm_least"), *slim), "nodes")
-    filled = nodes.filter("gm_n > 0")
-    rows = id_and_text(df, id_col, text_col)
-    found, one = _compared(filled.withColumn("gm_root", F.col("gm_node")), columns, masks, likely, block)
-    pairs, two = _few(found, "pairs")
-    sure = confirmed(pairs, prints, rows)
-    roots, used = components(sure)
-    placed, three = stored(filled.join(roots, F.col("gm_node") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "gm_node")).select(*columns), "placed")
-    found, four = _compared(placed, columns, masks, candidates, block, "gm_root")
-    pairs, five = _few(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    known = _grouped(nodes.select("gm_node", "gm_least"), (sure.union(confirmed(pairs, prints, rows)), one))
-    groups, _ = stored(prints.select("gm_id", "gm_text_hash", "gm_node").join(known, "gm_node").select("gm_id", "gm_text_hash", "component_id"), "groups")
-    delete(spark, sets_path, path, two, three, four, five, *used)
+    rows = _keyed(df, id_col, text_col)
+    prints, prints_path = stored(sketches(rows), "sketches")
+    # a node is a set, named by a number of its own once its table is written, and has one of its rows to be read again
+    least = [F.min("gm_id").alias("gm_least"), F.min("gm_r1").alias("gm_r1"), F.min_by("gm_r2", "gm_r1").alias("gm_r2")]
+    sets = prints.groupBy("gm_k1", "gm_k2").agg(*least, *[F.first(c).alias(c) for c in ["gm_n", *_NAMES]])
+    nodes, path = stored(sets.withColumn("gm_node", F.monotonically_increasing_id()), "nodes")
+    spread = nodes.filter("gm_n > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
+    cells = spread.select("gm_node", (6 * F.col("gm_n") + BANDS * ROWS).alias("gm_size"), F.posexplode(F.array(*_NAMES)).alias("gm_t", "gm_band"))
+    cells = cells.select("gm_node", "gm_size", "gm_t", F.xxhash64("gm_t", "gm_band").alias("gm_cell"))
+    found = _linked(cells, _read_sets(rows, nodes), _sets_near, block)
+    known, known_path = _grouped(nodes, found, "gm_k1", "gm_k2")
+    groups, _ = stored(prints.join(known, ["gm_k1", "gm_k2"]).select("gm_id", "gm_r1", "gm_r2", "component_id"), "groups")
+    delete(spark, prints_path, path, known_path)
     return groups
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, with all their columns, of which one stays for each group of near copies: that with the least id
-    (null ids last), then the least text hash.  Repeated rows are one."""
+    (null ids last), then the least hash of the whole row.  Repeated rows are one."""
     groups = near_groups(df, id_col, text_col, **options)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("gm_id").isNull().alias("n"), "gm_id", "gm_text_hash")).alias("gm_first"))
-    keep = first.select(F.col("gm_first.gm_id").alias("gm_id"), F.col("gm_first.gm_text_hash").alias("gm_text_hash"))
-    rows = df.withColumn("gm_row_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    rows = rows.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("gm_id")) & (F.col("gm_row_hash") == F.col("gm_text_hash")))
-    return rows.dropDuplicates([id_col, "gm_row_hash"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("gm_id").isNull().alias("n"), "gm_id", "gm_r1", "gm_r2")).alias("gm_first"))
+    keep = first.select("gm_first.gm_r1", "gm_first.gm_r2")
+    plain = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("gm_row"), *_row_names(df))
+    return plain.join(keep, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

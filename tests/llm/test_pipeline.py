@@ -5,6 +5,7 @@ import __spark_entry__ as entry
 from gistmill.llm import catalogue
 from gistmill.llm.secrets import base_spans
 from tests.llm.test_decontaminate import shingles
+from tests.llm.test_simhash import shingle_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,9 +25,9 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
         if name == "near_dedup":
             assert after.text.is_unique
-            word_sets = {i: shingles(t) for i, t in before.text.items()}
+            word_sets = {i: shingle_sets(t) for i, t in before.text.items()}
             for i in gone:
-                assert max(len(word_sets[i] & word_sets[j]) / len(word_sets[i] | word_sets[j]) for j in before.index if j != i) > 0.4
+                assert max(len(word_sets[i] & word_sets[j]) / len(word_sets[i] | word_sets[j]) for j in before.index if j != i) >= 0.8
         elif name == "decontaminate":
             assert gone and all(leaks(before.text[i]) for i in gone) and not any(map(leaks, after.text))
         else:

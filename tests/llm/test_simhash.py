@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gistmill.llm import simhash as H
 
@@ -56,6 +58,19 @@ def test_masks_cover(radius):
         assert any(not flips & m for m in masks)
 
 
+@pytest.mark.parametrize("radius", [2, 4])
+def test_finer_masks_cover(radius):
+    """Pairs within the radius that a mask keeps together agree under a finer mask of the bits that it leaves free."""
+    rng = random.Random(radius)
+    for mask in H.covering_masks(radius):
+        free = [b for b in range(64) if not mask >> b & 1]
+        finer = [m & 0xFFFFFFFFFFFFFFFF for m in H.covering_masks(radius, ~mask)]
+        assert not any(m & mask for m in finer)
+        for _ in range(200):
+            flips = sum(1 << b for b in rng.sample(free, radius))
+            assert any(not flips & m for m in finer)
+
+
 def test_documents_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == brute(rows)
@@ -109,6 +124,39 @@ def test_dedup_of_odd_rows(spark):
     assert H.deduplicated(df.limit(0)).count() == 0
 
 
+def test_names_of_columns_and_rows_that_differ_elsewhere(spark):
+    """Columns named as those made inside stay as they are; of rows of one id and text the least hash of the row stays, whatever the order."""
+    text = "a b c d e f g h"
+    names = ["gm_id", "gm_text", "gm_r1", "gm_row", "gm_node", "component_id"]
+    rows = [(1, text, *[f"v{i}{n}" for n in names], {"k": i}) for i in range(6)] + [(2, "other words stand in this one", *names, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names) + ", m map<string,int>")
+    one, two = (sorted(map(str, H.deduplicated(d).collect())) for d in (df, df.orderBy(F.desc("gm_id")).repartition(3)))
+    assert one == two and len(one) == 2 and H.deduplicated(df).columns == df.columns
+
+
+def test_links_of_large_cells_are_few(spark):
+    """A hot group of near copies, most of them in one cell, and texts near it that are no copies: as by brute force, and edges in proportion to nodes."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(146)]
+    rows = []
+    for i in range(240):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8])):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    want, pairs = exact_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (16, 512):
+        assert {r.gm_id: r.component_id for r in H.near_groups(df, block=block).collect()} == want
+    assert pairs > 2000
+    # edges out of one task: at most one for each row but the first
+    near = lambda at, others: others % 3 == at % 3
+    assert len(H.forest(90, near)) == 87
+    label = np.arange(90) % 2
+    assert sorted(H.bridges(np.arange(45), np.arange(45, 90), label, near))[0][0] == 0 and len(H.bridges(np.arange(45), np.arange(45, 90), label, near)) == 1
+
+
 def shingle_sets(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
