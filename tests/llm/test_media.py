@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import os
 import random
 import struct
@@ -120,17 +121,21 @@ def pages(spark):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, size int")
 
 
-def archive(spark, df, tmp_path, block_lines=5):
-    a, i = f"file://{tmp_path}/archive", f"file://{tmp_path}/index"
-    captures = W.write_archives(df, a)
-    return captures, W.write_index(captures, i, block_lines), a, i
+def archive(spark, df, tmp_path, block_lines=5, **options):
+    a = f"file://{tmp_path}/archive"
+    captures, _ = W.write_archives(df, a)
+    return captures, W.write_index(captures, f"file://{tmp_path}/index", block_lines, **options), a
+
+
+def every(df, index, a, **options):
+    return W.fetch(W.search(W.keys_of(df), index), a, **options)
 
 
 def test_archives(spark, tmp_path):
     df = pages(spark)
-    captures, directory, a, i = archive(spark, df, tmp_path)
-    assert captures.count() == df.count() and directory.count() >= df.count() // 5
-    got = W.resolved(W.read_all(directory, a, i)).collect()
+    captures, index, a = archive(spark, df, tmp_path)
+    assert captures.count() == df.count() and index.directory.count() >= df.count() // 5 and index.levels == 1
+    got = W.resolved(every(df, index, a))[0].collect()
     by = {(r.page_id, r.url): r for r in got}
     assert len(got) == df.count() and all(r.payload_digest == r.stated_digest for r in got)
     kinds = {k[0]: (r.record_type, r.refers_to) for k, r in by.items()}
@@ -139,6 +144,8 @@ def test_archives(spark, tmp_path):
     html = {r.page_id: (r.html or "").encode() for r in df.collect()}
     assert all((r.payload_bytes, r.payload_digest) == (len(html[r.page_id]), hashlib.sha256(html[r.page_id]).hexdigest()) for r in got)
     assert by[9, None].url is None and (1, "http://b.com/%0D%0AX: y") in by
+    kept = every(df, index, a, payloads=True).filter("record_type = 'response'").collect()
+    assert {r.page_id: bytes(r.payload) for r in kept} == {r.page_id: html[r.page_id] for r in got if r.record_type == "response"}
 
 
 def test_files_are_plain_warc(spark, tmp_path):
@@ -154,13 +161,26 @@ def test_files_are_plain_warc(spark, tmp_path):
     assert records == pages(spark).count()
 
 
-def test_lookup(spark, tmp_path):
+@pytest.mark.parametrize("top_rows", [1 << 16, 4, 2])
+def test_lookup(spark, tmp_path, top_rows):
+    """A directory of one level, and of as many as it takes to be bounded."""
     df = pages(spark)
-    _, directory, a, i = archive(spark, df, tmp_path, block_lines=3)
-    asked = spark.createDataFrame([("http://HOT.com/",), ("http://a.com/2#x",), ("http://none.com/",), (None,), ("http://b.com/",)], "url string")
-    for slices in (1 << 18, 4):
-        got = W.lookup(asked, directory, a, i, slice_rows=slices).groupBy("asked_url").count().collect()
-        assert {r.asked_url: r["count"] for r in got} == {"http://HOT.com/": 60, "http://a.com/2#x": 1, "http://b.com/": 2, None: 2}
+    _, index, a = archive(spark, df, tmp_path, block_lines=3, top_rows=top_rows)
+    assert index.directory.count() <= top_rows and (index.levels > 1) == (top_rows < 10)
+    asked = spark.createDataFrame([("http://HOT.com/",), ("http://a.com/2#x",), ("http://none.com/",), (None,), ("http://b.com/",), ("http://b.com:80/",), ("zzz",), ("http://b.com/",)], "url string")
+    got = W.lookup(asked, index, a).groupBy("asked_url").count().collect()
+    assert {r.asked_url: r["count"] for r in got} == {"http://HOT.com/": 60, "http://a.com/2#x": 1, "http://b.com/": 2, "http://b.com:80/": 2, None: 2}
+    assert every(df, index, a).count() == df.count()
+
+
+def test_blocks_by_brute_force():
+    """Binary search in a block against a look at every line, keys repeated and absent."""
+    rng = random.Random(7)
+    for _ in range(300):
+        keys = sorted(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(rng.randint(1, 12)))
+        lines = [f'{json.dumps(k)} {W.STAMP} {json.dumps([k, n])}' for n, k in enumerate(keys)]
+        for key in ("", "a", "aa", "c", "dd", "h"):
+            assert sorted(e[1] for e in W.entries(lines, key)) == [n for n, k in enumerate(keys) if k == key]
 
 
 def test_pages_equal_sql(spark):
@@ -170,5 +190,6 @@ def test_pages_equal_sql(spark):
 
 
 def test_no_pages(spark, tmp_path):
-    _, directory, a, i = archive(spark, pages(spark).limit(0), tmp_path)
-    assert W.resolved(W.read_all(directory, a, i)).count() == 0
+    df = pages(spark).limit(0)
+    _, index, a = archive(spark, df, tmp_path)
+    assert W.resolved(every(df, index, a))[0].count() == W.lookup(df, index, a).count() == 0
