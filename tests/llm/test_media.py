@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import math
 import os
 import random
 import struct
@@ -24,14 +25,52 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("order", ["<", ">"])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, (16, 48)])
-def test_round_trip(codec, order, predictor, tile):
+@pytest.mark.parametrize("fill", [1, 2])
+def test_round_trip(codec, order, predictor, tile, fill):
     rng = random.Random(5)
     for payload in (bytes(64), rng.randbytes(64 * 70), b"abcabc " * 640, bytes(64 * 300) + b"\xff" * 640):
         payload += bytes(-len(payload) % 64)
-        data = T.write(payload, codec=codec, predictor=predictor, order=order, tile=tile, page_bytes=64 * 90, strip_bytes=1000)
-        found = T.read(data)
+        data = T.write(payload, codec=codec, predictor=predictor, order=order, tile=tile, page_bytes=64 * 90, strip_bytes=1000, fill=fill)
+        found = list(T.read(data))
         assert [f["error"] for f in found] == [None] * len(found) and b"".join(f["samples"] for f in found) == payload
         assert len(found) == -(-len(payload) // (64 * 90)) and {f["compression"] for f in found} == {codec}
+        assert [f["last"] for f in found] == [False] * (len(found) - 1) + [True] and found[-1]["so_far_sha256"] == hashlib.sha256(payload).hexdigest()
+        for i, f in enumerate(found):
+            so_far = b"".join(g["samples"] for g in found[: i + 1])
+            assert (f["so_far_bytes"], f["so_far_tail"], f["so_far_feature"]) == (len(so_far), so_far[-64:], plain_features(so_far)) and f["feature"] == plain_features(f["samples"])
+
+
+def plain_features(data: bytes) -> str:
+    n = len(data)
+    mean = sum(data) / n
+    counts = [data.count(bytes((v,))) for v in range(256)]
+    share = [c / n for c in counts]
+    sd = sum(p * (v - mean) ** 2 for v, p in enumerate(share)) ** 0.5
+    entropy = -sum(p * math.log2(p) for p in share if p)
+    return f"mean={mean:.3f};sd={sd:.3f};entropy={abs(entropy):.4f};bands=" + "/".join(f"{sum(counts[32 * i : 32 * i + 32]) / n:.4f}" for i in range(8))
+
+
+def test_pages_over_the_bound_are_not_decoded():
+    """A small file that says it is huge, and one that is, are errors of that page; digests end there."""
+    big = T.write(bytes(64 * 4000) + b"x" * 64 * 4000, page_bytes=64 * 4000)
+    found = list(T.read(big, max_page_bytes=64 * 3999))
+    assert [f["samples"] for f in found] == [None, None] and all("over" in f["error"] for f in found)
+    mixed = T.write(b"a" * 64 * 30, page_bytes=64 * 20)
+    found = list(T.read(mixed, max_page_bytes=64 * 10))
+    assert [f["error"] is None for f in found] == [False, True] and [f["so_far_sha256"] for f in found] == [None, None] and found[1]["samples"] == b"a" * 640
+    huge = tiff([(256, 4, [1 << 20]), (257, 4, [1 << 20]), (258, 3, [8]), (259, 3, [8]), (273, 4, None), (278, 4, [1 << 20]), (279, 4, [20])], [zlib.compress(b"")])
+    assert "over" in next(T.read(huge))["error"]
+
+
+def test_every_form_is_met():
+    forms = [T.layout(64 * n) for n in range(1, 40)]
+    assert {f.get("codec", T.DEFLATE) for f in forms} == {T.NONE, T.LZW, T.DEFLATE, T.PACKBITS}
+    assert {f.get("predictor", 2) for f in forms} == {1, 2} and {"tile" in f for f in forms} == {True, False}
+    rng = random.Random(1)
+    for n in [1, 2, 3, 4, 31, 32, 33, 1024, 1025, 5000]:
+        payload = bytes(rng.choice(b"abc ") for _ in range(64 * n))
+        found = list(T.read(T.write(payload, **T.layout(len(payload)))))
+        assert b"".join(f["samples"] for f in found) == payload and len(found) == max(1, -(-len(payload) // 65536))
 
 
 @given(st.binary(max_size=3000), st.integers(1, 9))
@@ -80,20 +119,26 @@ def test_wide_samples_planes_and_float_predictor(order):
 def test_broken_files():
     good = T.write(bytes(range(64)) * 4, codec=T.LZW)
     for bad in (b"", b"II", b"PK\x03\x04aaaa", good[:20], good[:-30], tiff([(256, 4, [5])], []), tiff([(256, 4, [9]), (257, 4, [9]), (258, 3, [8]), (259, 3, [7]), (273, 4, None)], [b"x"])):
-        found = T.read(bad)
+        found = list(T.read(bad))
         assert len(found) <= 1 and all(f["error"] and f["samples"] is None for f in found)
     looped = bytearray(T.write(bytes(64)))
     looped[-4:] = looped[4:8]
-    assert len(T.read(bytes(looped))) == 1
+    assert len(list(T.read(bytes(looped)))) == 1
 
 
 def test_pages_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "é"), (3, "x" * 64), (3, "x" * 64), (4, "long " * 400_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     made = T.media(df, page_bytes=1 << 20)
-    got = sorted(T.pages(made).collect(), key=lambda r: (str(r.gm_id), r.page))
-    assert [(r.gm_id, r.page, len(r.samples)) for r in got] == [(1, 0, 64), (2, 0, 64), (3, 0, 64), (3, 0, 64), (4, 0, 1 << 20), (4, 1, 2_000_000 - (1 << 20)), (None, 0, 64)]
-    assert got[2].feature == got[3].feature and got[2].media == got[3].media
+    for bound in (8 << 20, 1):
+        got = sorted(T.pages(made, batch_bytes=bound).collect(), key=lambda r: (str(r.of.gm_id), r.page))
+        assert [(r.of.gm_id, r.page, len(r.samples), r.last) for r in got] == [
+            (1, 0, 64, True), (2, 0, 64, True), (3, 0, 64, True), (3, 0, 64, True), (4, 0, 1 << 20, False), (4, 1, 2_000_000 - (1 << 20), True), (None, 0, 64, True),
+        ]
+    assert got[2].feature == got[3].feature and got[2].media_sha256 == got[3].media_sha256
+    named = made.selectExpr("gm_id as page", "n_bytes as samples", "media", "1 as of", "'x' as last")
+    assert T.pages(named).filter("of.page = 4 and last").select("of.last", "of.samples", "so_far_bytes").first() == ("x", 2_000_000, 2_000_000)
+    assert T.pages(made.select("media")).count() == 7
     assert T.pages(made.limit(0)).count() == 0
     assert T.pages(spark.createDataFrame([(1, None), (2, b"junk")], "id int, media binary")).filter("error is not null").count() == 1
 
@@ -103,6 +148,8 @@ def test_documents_through_tiff(spark):
     for r in T.op4_tiff(spark, SF).collect():
         payload = docs[r.doc_id] + bytes(-len(docs[r.doc_id]) % 64 if docs[r.doc_id] else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        file = T.write(payload, **T.layout(len(payload)))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(file), hashlib.sha256(file).hexdigest(), plain_features(payload))
 
 
 # ---------------------------------------------------------------- WARC
