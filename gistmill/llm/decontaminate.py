@@ -17,18 +17,21 @@ too small for 1e-9 get as many independent permutations as they need.
 
 Verification.  Candidates are compared shingle by shingle, as strings.
 
-Scale.  Nothing is shuffled: items go to the documents, in blocks of at most
-``block_bytes`` of item text, one pass over the documents a block.  Matching happens where a
-document is read, so a group of copies or a hot source is no heavier than other rows.
+Scale.  Documents are not shuffled: the distinct texts of items go to them, in blocks of at most about
+``block_bytes``, one pass over the documents a block; what is found there is joined with the items' ids.  Matching happens where a
+document is read, so a group of copies or a hot source is no heavier than other rows, and an item that is
+repeated under many ids is searched once.  All blocks together are the benchmark, which this operator takes to be small beside the documents:
+with a benchmark of B bytes the documents are read B / ``block_bytes`` times.
 
 Defined cases.  Null and empty texts, and those without words, have no shingles: nothing is found in such
-documents and such items are found nowhere.  Repeated documents or items give repeated
-results.  Empty tables give empty results.  Other columns are ignored by ``leaks`` and kept by ``clean``, whatever
-their names.
+documents and such items are found nowhere.  Ids may be of any type; null ids stay null.  Repeated documents or items give repeated
+results.  Very long texts are cut into segments for hashing only and matched as a whole.  Empty tables give empty results.  Other columns are
+ignored by ``leaks`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -154,10 +157,10 @@ def _class(count: np.ndarray) -> np.ndarray:
 class Index:
     """Items sketched for every size class, and their shingles for verification."""
 
-    def __init__(self, items: list[tuple], width: int, threshold: float):
+    def __init__(self, items: list[str], width: int, threshold: float):
         self.width, self.threshold = width, threshold
-        texts = lowered(pa.array([text for _, text in items], pa.string()))
-        live = [(key, text, s) for (key, _), text in zip(items, texts) if (s := shingles(text, width))]
+        texts = lowered(pa.array(items, pa.string()))
+        live = [(key, text, s) for key, text in zip(items, texts) if (s := shingles(text, width))]
         self.items = [(key, s) for key, _, s in live]
         need = [max(1, math.ceil(math.log(_MISS, 1 / 8) / math.ceil(threshold * len(s)))) for _, s in self.items]
         self.permutations = max(need, default=0)
@@ -217,21 +220,20 @@ class Index:
 _last: list = []
 
 
-def _index(block: list[tuple], width: int, threshold: float) -> Index:
+def _index(block: list[str], width: int, threshold: float) -> Index:
     """The index of a block, compiled once for the tasks that a worker runs one after another."""
     if not _last or _last[0] is not block or _last[1:3] != [width, threshold]:
         _last[:] = [block, width, threshold, Index(block, width, threshold)]
     return _last[3]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks whose text takes at most about ``block_bytes``, one after another."""
-    rows = id_and_text(items, id_col, text_col).filter("gm_text is not null")
+def _blocks(items: DataFrame, text_col: str, block_bytes: int) -> Iterator[list[str]]:
+    """The distinct texts of the items in blocks of at most about ``block_bytes``, one after another."""
+    rows = items.select(F.col(f"`{text_col}`").cast("string").alias("gm_text")).filter("gm_text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("gm_text"))).first()[0] or 0
     parts = int(total // block_bytes) + 1
     for b in range(parts):
-        got = rows.filter(F.pmod(F.xxhash64("gm_text", "gm_id"), F.lit(parts)) == b).collect()
-        yield sorted(((r[0], r[1]) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield sorted(r[0] for r in rows.filter(F.pmod(F.xxhash64("gm_text"), F.lit(parts)) == b).collect())
 
 
 def leaks(
@@ -242,35 +244,33 @@ def leaks(
     small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["gm_id"].dataType.simpleString()
-    item_type = items.schema[item_col].dataType.simpleString()
     out = None
-    for block in _blocks(items, item_col, item_text, block_bytes):
+    for block in _blocks(items, item_text, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = _index(held.value, width, threshold)
             for batch in batches:
                 hits = index.match(batch.column(1))
+                found = [index.items[h[1]] for h in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.items[h[1]][0] for h in hits], ITEM_TYPES[item_type]),
-                     pa.array([h[2] for h in hits], pa.int64()), pa.array([len(index.items[h[1]][1]) for h in hits], pa.int64())],
-                    names=["gm_id", "gm_item", "shared", "item_shingles"],
+                    [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([hashlib.sha256(text.encode()).hexdigest() for text, _ in found], pa.string()),
+                     pa.array([h[2] for h in hits], pa.int64()), pa.array([len(held) for _, held in found], pa.int64())],
+                    names=["gm_id", "gm_sha", "shared", "item_shingles"],
                 )
 
-        part = rows.mapInArrow(work, f"gm_id {kind}, gm_item {item_type}, shared long, item_shingles long")
+        part = rows.mapInArrow(work, f"gm_id {kind}, gm_sha string, shared long, item_shingles long")
         out = part if out is None else out.union(part)
-    return out.select(F.col("gm_id").alias(id_col), F.col("gm_item").alias(item_col), "shared", "item_shingles")
+    named = items.select(F.col(f"`{item_col}`").alias("gm_item"), F.sha2(F.col(f"`{item_text}`").cast("string"), 256).alias("gm_sha"))
+    return out.join(named, "gm_sha").select(F.col("gm_id").alias(id_col), F.col("gm_item").alias(item_col), "shared", "item_shingles")
 
 
-ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", width: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     out = docs
-    for block in _blocks(items, item_col, item_text, block_bytes):
+    for block in _blocks(items, item_text, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

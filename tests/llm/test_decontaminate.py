@@ -76,6 +76,20 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id, r.text) for r in clean.collect()) == [(1, None), (2, ""), (3, "...")] and clean.schema == a.schema
 
 
+def test_ids_of_any_type_and_repeated_items(spark):
+    docs, items = corpus()
+    want = brute(docs, items)
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    for kind in ("smallint", "tinyint", "decimal(20,0)", "double", "string", "binary", "date"):
+        column = F.expr("date_add(date'2000-01-01', cast(item_id as int))") if kind == "date" else F.col("item_id").cast("string").cast("binary") if kind == "binary" else F.col("item_id").cast(kind)
+        b = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", column)
+        assert D.leaks(a, b).count() == len(want) and D.leaks(a, b).schema["item_id"].dataType == b.schema["item_id"].dataType
+    many = [(100 * n + i, t) for i, t in items for n in range(40)]
+    got = run(spark, docs, many, block_bytes=4000)
+    assert len(got) == 40 * len(want) and {(d, i % 100, x, y) for d, i, x, y in got} == set(want)
+    assert len(list(D._blocks(spark.createDataFrame(many, "item_id long, text string"), "text", 1 << 20))[0]) == len(items)
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(1)
     words = list({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(20_000)})
