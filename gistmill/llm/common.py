@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gistmill.plans.tables import delete, new_path, scan, shared_dir, size_of, small_batches, stored
 
-__all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "shared_dir", "size_of", "small_batches", "stored", "texts"]
+__all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "shared_dir", "size_of", "small_batches", "stored", "texts", "threshold"]
+
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 bytes of every text, the empty string for null."""
@@ -34,6 +35,11 @@ def runs(sizes: list[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def threshold(total: int, wanted: int) -> int:
+    """The bound on a hash of 63 bits below which about twice ``wanted`` of ``total`` rows lie; never zero for a wanted row."""
+    return min((1 << 63) - 1, (2 * wanted << 63) // max(1, total))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under names of its own."""
     return df.select(F.col(f"`{id_col}`").alias("gm_id"), F.col(f"`{text_col}`").cast("string").alias("gm_text"))

@@ -9,9 +9,9 @@ All windows of a text count; nothing is cut off.
 Inference.  Embedding and filters of neighbouring bytes fold into tables indexed by
 byte pairs, so a convolution is one or two gathers a position.
 
-Training.  Adam on a bounded sample: about ``per_lang`` rows of each of at most
-``max_langs`` languages, chosen by a hash of the id, so that the choice does not depend on
-partitions; from each row two crops, the second shorter, so that short texts are known too.  Only
+Training.  Adam on a bounded sample: at most ``per_lang`` distinct rows of each of at most
+``max_langs`` languages (the most frequent: rarer ones can't be predicted), those with the least hash of id, text and language among what a threshold of 63 bits leaves,
+so the choice does not depend on partitions and runs empty at no size; from each row two crops, the second shorter, so that short texts are known too.  Only
 the sample reaches the driver.
 
 Defined cases.  A text that is null or has no Unicode letter is ``und`` with score 0.  If
@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import documents, id_and_text, runs, small_batches, texts
+from gistmill.llm.common import documents, id_and_text, runs, small_batches, texts, threshold
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -178,12 +178,14 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if not counts:
         return None
     langs = tuple(sorted(counts))
-    share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, per_lang / counts[lang]))])
-    toss = F.pmod(F.xxhash64("gm_id", F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    spot = F.pmod(F.xxhash64("gm_id", F.lit("crop")), F.greatest(F.lit(1), F.length("gm_text") - WINDOW)).cast("int") + 1
-    sample = rows.filter(F.col("gm_lang").isin(*langs) & (toss < share[F.col("gm_lang")]))
-    sample = sample.select("gm_lang", F.substring("gm_text", spot, F.lit(WINDOW)).alias("crop"), F.pmod(F.xxhash64("gm_id"), F.lit(997)).alias("toss"))
-    got = sorted(tuple(r) for r in sample.limit(2 * per_lang * len(langs)).collect())
+    key = F.xxhash64("gm_id", "gm_text", "gm_lang")
+    bound = F.create_map(*[F.lit(v) for lang in langs for v in (lang, threshold(counts[lang], per_lang))])
+    toss = F.xxhash64(key, F.lit("langid")).bitwiseAND(F.lit((1 << 63) - 1))
+    spot = F.pmod(F.xxhash64(key, F.lit("crop")), F.greatest(F.lit(1), F.length("gm_text") - WINDOW)).cast("int") + 1
+    drawn = rows.filter(F.col("gm_lang").isin(*langs)).filter(toss <= bound[F.col("gm_lang")])
+    drawn = drawn.select("gm_lang", toss.alias("toss"), F.substring("gm_text", spot, F.lit(WINDOW)).alias("crop"), F.pmod(key, F.lit(997)).alias("luck")).distinct()
+    rank = F.row_number().over(Window.partitionBy("gm_lang").orderBy("toss", "crop"))
+    got = sorted(tuple(r) for r in drawn.withColumn("n", rank).filter(F.col("n") <= per_lang).select("gm_lang", "crop", "luck").collect())
     crops, labels = [], []
     for lang, crop, luck in got:
         raw = crop.encode()[:WINDOW]

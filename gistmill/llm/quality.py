@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import delete, documents, id_and_text, small_batches, stored, texts
+from gistmill.llm.common import delete, documents, id_and_text, small_batches, stored, texts, threshold
 from gistmill.llm.langid import fold
 
 #: Byte classes whose shares are features.
@@ -162,11 +162,6 @@ def shapes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def threshold(total: int, wanted: int) -> int:
-    """The bound on a hash of 63 bits below which about twice ``wanted`` of ``total`` rows lie; never zero for a wanted row."""
-    return min((1 << 63) - 1, (2 * wanted << 63) // max(1, total))
-
-
 def _least(df: DataFrame, key: str, salt: str, total: int, wanted: int) -> DataFrame:
     """At most ``wanted`` distinct values of ``key``, those with the least hashes."""
     toss = F.xxhash64(F.col(key), F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gistmill.llm import langid as L
 from gistmill.llm import pieces as P
 from gistmill.llm import quality as Q
+from gistmill.llm.common import threshold
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,6 +47,42 @@ def test_tables_equal_the_plain_network(model):
     assert np.allclose(L.Scorer(model).windows(x), want, atol=1e-3)
 
 
+def test_scores_equal_a_plain_mean_over_windows(model):
+    """Each text by itself: the plain network on every window, the mean of log-probabilities weighted by bytes, and its softmax."""
+    rng = random.Random(3)
+    found = ["alpha beta", "größe " * 300, "x", "gamma ßß " * 57 + "é", "".join(rng.choice("abß é") for _ in range(1024)) + "z", "12 ,", "", "b" * 512]
+    langs, scores = L.Scorer(model).texts([t.encode() for t in found])
+    for text, lang, score in zip(found, langs, scores):
+        raw = text.encode()
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.zeros(2)
+        for at in range(0, len(raw), L.WINDOW):
+            window = np.frombuffer(raw[at : at + L.WINDOW].ljust(L.WINDOW, b"\0"), dtype=np.uint8)
+            feats = []
+            for conv, bias in zip(model.conv, model.bias):
+                z = [sum(model.embed[window[i + j]] @ conv[j] for j in range(len(conv))) for i in range(L.WINDOW - len(conv) + 1)]
+                feats.append(np.maximum(np.max(z, axis=0) + bias, 0))
+            logit = np.concatenate(feats) @ model.out + model.out_bias
+            total += (logit - np.log(np.exp(logit - logit.max()).sum()) - logit.max()) * len(raw[at : at + L.WINDOW])
+        mean = np.exp(total / len(raw))
+        assert lang == model.langs[int(mean.argmax())] and score == pytest.approx(mean.max() / mean.sum(), abs=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    """One id for all rows of a language and rows that repeat: at most per_lang distinct rows of each language."""
+    rows = [(1, f"alpha beta number {i}", "aa") for i in range(200)] + [(i, "gamma delta", "bb") for i in range(50)] + [(9, "same words", "cc")] * 90
+    seen = []
+    known, L.train = L.train, lambda crops, labels, langs, **k: seen.append([labels.count(i) for i in range(len(langs))])
+    try:
+        L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_lang=30)
+        L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_lang=30, max_langs=2)
+    finally:
+        L.train = known
+    assert seen == [[60, 60, 2], [60, 2]]
+
+
 def test_language_of_odd_rows(spark, model):
     rows = [(1, None), (2, ""), (3, "123 !?"), (None, "alpha beta gamma alpha"), (4, "日"), (5, "größe straße über " * 40_000), (5, "größe straße über " * 40_000)]
     df = spark.createDataFrame([(*r, None, "x") for r in rows], "doc_id long, text string, lang string, score string")
@@ -124,7 +161,7 @@ def test_scores_equal_a_plain_network(spark):
 
 @pytest.mark.parametrize("total", [1, 12_000, 7_000_000_000, 12_582_912_000, 10**11, 10**15])
 def test_samples_never_run_empty(total):
-    share = Q.threshold(total, 12_000) / (1 << 63)
+    share = threshold(total, 12_000) / (1 << 63)
     assert share * total >= 2 * 12_000 * 0.999 or share > 0.999
 
 
