@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.plans.tables import delete, new_path, scan, shared_dir, size_of, small_batches, stored
+from gistmill.plans.tables import delete, new_path, scan, scope, shared_dir, size_of, small_batches, stored
 
-__all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "shared_dir", "size_of", "small_batches", "stored", "texts", "threshold"]
+__all__ = ["delete", "documents", "id_and_text", "new_path", "runs", "scope", "shared_dir", "size_of", "small_batches", "stored", "texts", "threshold"]
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

@@ -357,11 +357,11 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def _grouped(nodes: DataFrame, edges: tuple[DataFrame, str], *keys: str) -> tuple[DataFrame, str]:
-    """``keys`` of all nodes and component_id, the least gm_least of the component; stored, and its path."""
+    """``keys`` of all nodes, gm_root, which names the component, and component_id, the least gm_least in it; stored, and its path."""
     roots, used = components(edges[0])
     placed = nodes.join(roots, F.col("gm_node") == F.col("node"), "left").select(*keys, "gm_least", F.coalesce("root", "gm_node").alias("gm_root"))
     least, path = _few(placed.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")), "least", *used)
-    known = stored(placed.join(least, "gm_root").select(*keys, "component_id"), "components")
+    known = stored(placed.join(least, "gm_root").select(*keys, "gm_root", "component_id"), "components")
     delete(nodes.sparkSession, path, edges[1], *used)
     return known
 
@@ -434,7 +434,7 @@ def _read_sets(rows: DataFrame, nodes: DataFrame, width: int = 5) -> Callable[[D
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``df``: gm_id, gm_r1 and gm_r2 (128 bits that name the row) and component_id, by similarity of 0.8 or more."""
+    """One row per row of ``df``: gm_id, gm_r1 and gm_r2 (128 bits that name the row), gm_root, which names the component, and component_id, by similarity of 0.8 or more."""
     spark = df.sparkSession
     rows = _keyed(df, id_col, text_col)
     prints, prints_path = stored(sketches(rows), "sketches")
@@ -447,7 +447,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     cells = cells.select("gm_node", "gm_size", "gm_t", F.xxhash64("gm_t", "gm_band").alias("gm_cell"))
     found = _linked(cells, _read_sets(rows, nodes), _sets_near, block)
     known, known_path = _grouped(nodes, found, "gm_k1", "gm_k2")
-    groups, _ = stored(prints.join(known, ["gm_k1", "gm_k2"]).select("gm_id", "gm_r1", "gm_r2", "component_id"), "groups")
+    groups, _ = stored(prints.join(known, ["gm_k1", "gm_k2"]).select("gm_id", "gm_r1", "gm_r2", "gm_root", "component_id"), "groups")
     delete(spark, prints_path, path, known_path)
     return groups
 
@@ -456,7 +456,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``df``, with all their columns, of which one stays for each group of near copies: that with the least id
     (null ids last), then the least hash of the whole row.  Repeated rows are one."""
     groups = near_groups(df, id_col, text_col, **options)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("gm_id").isNull().alias("n"), "gm_id", "gm_r1", "gm_r2")).alias("gm_first"))
+    first = groups.groupBy("gm_root").agg(F.min(F.struct(F.col("gm_id").isNull().alias("n"), "gm_id", "gm_r1", "gm_r2")).alias("gm_first"))
     keep = first.select("gm_first.gm_r1", "gm_first.gm_r2")
     plain = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("gm_row"), *_row_names(df))
     return plain.join(keep, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_row.*")

@@ -122,6 +122,8 @@ def test_dedup_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in H.deduplicated(df).collect()) == [(2, "a b c d e f"), (3, None)]
     assert H.deduplicated(df.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, f"document {i} with words of its own like w{i} x{i} y{i}") for i in range(9)] * 2 + [(None, ""), (None, None)], "doc_id long, text string")
+    assert H.deduplicated(nameless).count() == 10
 
 
 def test_names_of_columns_and_rows_that_differ_elsewhere(spark):
