@@ -7,6 +7,8 @@ inside whole-stage code generation as far as Spark's expressions allow.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +21,15 @@ def any_of(literals: list[str], flags: str = "") -> str:
     return flags + "(" + "|".join(re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", x) for x in literals) + ")"
 
 
-FAILURE = any_of(S.FAILURES, "(?i)")
+#: Of the patterns those that hold no other one: a line that holds any holds one of these.
+FAILURE = any_of([p for p in S.FAILURES if not any(q != p and q in p for q in S.FAILURES)], "(?i)")
+#: White space inside a line, at its start; and what is left of a line that goes on.
+_INDENT, _GOES_ON = r"(?dmU)^[\s&&[^\n]]*+", r"(?=.*\S)"
 TIME_PREFIX = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2})"
 DIAGNOSTIC = r"^[^:]+:[0-9]+:"
 ALL_DIGITS = r"^[0-9]+:"
+_CRASH_LINE = _INDENT + "(?:" + "|".join(any_of([x]) + (_GOES_ON if x.endswith(" ") else "") for x in S.CRASH_STARTS) + ")"
+_DIAGNOSTIC_LINE = _INDENT + rf"(?!{TIME_PREFIX[1:]}|{ALL_DIGITS[1:]})[^:\n]+:[0-9]+:"
 PRUNABLE = r"(?i)(null|etag|trace_id|request_id|schema_version|_links|__typename)|\{[ \t\n\r]*\}|\[[ \t\n\r]*\]"
 CSI = "\x1b\\[[^\x40-\x7e]*[\x40-\x7e]"
 OSC = "\x1b\\](?:(?!\x1b\\\\)[^\x07])*(?:\x07|\x1b\\\\)"
@@ -118,21 +125,27 @@ def clean_returns(text: Column) -> Column:
     return F.when(F.contains(flat, F.lit("\r")), F.array_join(F.transform(F.split(flat, "\n"), last), "\n")).otherwise(flat)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once a row however often, and in whatever loop, it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_repeats(text: Column) -> Column:
-    """More than three equal non-blank lines in a row become one and a note; one pass over an array fold."""
-    lines = F.split(text, "\n")
-    blank = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("n"))
+    """More than three equal non-blank lines in a row become one and a note; linear in the lines, as runs are told by their starts."""
 
-    def flush(state: Column) -> Column:
-        line, n = state["line"], state["n"]
-        note = F.concat(F.lit("    [... line repeated "), (n - 1).cast("string"), F.lit(" times ...]"))
-        return F.when(n == 0, state["out"]).when(n > S.FOLD_RUN, F.concat(state["out"], F.array(line, note))).otherwise(F.concat(state["out"], F.array_repeat(line, n)))
+    def folded(lines: Column) -> Column:
+        fresh = lambda x, i: (i == 0) | (x != F.get(lines, i - 1)) | ~x.rlike(r"(?U)\S")
+        starts = F.array_compact(F.transform(lines, lambda x, i: F.when(fresh(x, i), i)))
 
-    def step(state: Column, line: Column) -> Column:
-        same = line.eqNullSafe(state["line"]) & line.rlike(r"(?U)\S")
-        return F.struct(F.when(same, state["out"]).otherwise(flush(state)).alias("out"), line.alias("line"), F.when(same, state["n"] + 1).otherwise(F.lit(1)).alias("n"))
+        def run(at: Column, n: Column) -> Column:
+            line = F.get(lines, at)
+            note = F.concat(line, F.lit("\n    [... line repeated "), (n - 1).cast("string"), F.lit(" times ...]"))
+            return F.when(n == 1, line).when(n > S.FOLD_RUN, note).otherwise(F.array_join(F.array_repeat(line, n), "\n"))
+
+        parts = _let(starts, lambda s: F.transform(s, lambda at, k: run(at, F.coalesce(F.get(s, k + 1), F.size(lines)) - at)))
+        return F.array_join(parts, "\n")
 
-    return F.when(F.size(lines) <= S.FOLD_RUN, text).otherwise(F.array_join(F.aggregate(lines, blank, step, flush), "\n"))
+    return _let(F.split(text, "\n"), lambda lines: F.when(F.size(lines) <= S.FOLD_RUN, F.array_join(lines, "\n")).otherwise(folded(lines)))
 
 
 def _rescued(lines: Column, family_name: Column) -> Column:
@@ -189,12 +202,15 @@ def with_elision(df: DataFrame, text: str, family_name: Column, out: str, tag: s
 
 
 def token_count(text: Column, tokens: list[str]) -> Column:
-    """non-overlapping occurrences, summed over the tokens: what taking a token out shortens the text by."""
-    total = F.lit(0)
-    for token in tokens:
-        gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(token), F.lit("")))
-        total = total + (gone / len(token.encode())).cast("int")
-    return total
+    """non-overlapping occurrences, summed over the tokens.
+
+    Where no token starts another, and none ends as it starts, that is the number of places where any token starts, found in one pass.
+    """
+    if any(a != b and b.startswith(a) or a == b and any(a.startswith(a[i:]) for i in range(1, len(a))) for a in tokens for b in tokens):
+        gone = [(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(t), F.lit("")))) / F.lit(len(t.encode())) for t in tokens]
+        return reduce(lambda a, b: a + b, [g.cast("int") for g in gone])
+    first = "".join(re.sub(r"([\\\]\[^&-])", r"\\\1", c) for c in sorted({t[0] for t in tokens}))
+    return F.regexp_count(text, F.lit(f"(?=[{first}]){any_of(tokens).replace('(', '(?=', 1)}"))
 
 
 def router_lines(text: Column) -> Column:
@@ -205,8 +221,9 @@ def router_lines(text: Column) -> Column:
 
 def timestamped(text: Column) -> Column:
     """Lines of over 20 bytes that look dated, up to three."""
-    dated = F.filter(router_lines(text), lambda s: (F.octet_length(s) > 20) & (s.rlike("^.{4}-..-") | s.rlike("^..:..:")))
-    return F.least(F.size(dated), F.lit(3))
+    at = lambda s, i, mark: F.substring(s, i, 1) == mark
+    looks = lambda s: (at(s, 5, "-") & at(s, 8, "-")) | (at(s, 3, ":") & at(s, 6, ":"))
+    return F.least(F.size(F.filter(F.split(text, "\n"), lambda s: (F.octet_length(s) > 20) & looks(s))), F.lit(3))
 
 
 def log_score(text: Column, dated: Column | None = None) -> Column:
@@ -214,11 +231,9 @@ def log_score(text: Column, dated: Column | None = None) -> Column:
     return token_count(text, S.LOG_LEVELS) + (timestamped(text) if dated is None else dated)
 
 
-def test_score(text: Column, lines: Column | None = None) -> Column:
-    """P7, step 3, of texts of up to three windows."""
-    trimmed = F.transform(router_lines(text) if lines is None else lines, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    marked = F.transform(trimmed, lambda s: s.rlike("^" + any_of(S.CRASH_STARTS)).cast("int") + diagnostic(s).cast("int"))
-    return token_count(text, S.TEST_TOKENS) + F.aggregate(marked, F.lit(0), lambda total, x: total + x)
+def test_score(text: Column) -> Column:
+    """P7, step 3, of texts of up to three windows: tokens anywhere, and lines that start as a crash or a diagnostic does, each in one pass over the text."""
+    return token_count(text, S.TEST_TOKENS) + F.regexp_count(text, F.lit(_CRASH_LINE)) + F.regexp_count(text, F.lit(_DIAGNOSTIC_LINE))
 
 
 def _machine_kind(text: Column, tests: Column, logs: Column, dated: Column) -> Column:

@@ -233,7 +233,8 @@ CLEAN_RETURNS_SQL = f"""WITH {_DIRTY_SQL} SELECT user_id, array_to_string(list_t
 
 
 def fold_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.texts(spark, sf_dir).select("doc_id", F.sha2(N.fold_repeats(F.col("text")), 256).alias("folded_sha"), F.octet_length(N.fold_repeats(F.col("text"))).cast("long").alias("folded_bytes"))
+    rows = X.texts(spark, sf_dir).select("doc_id", N.fold_repeats(F.col("text")).alias("folded"))
+    return rows.select("doc_id", F.sha2("folded", 256).alias("folded_sha"), F.octet_length("folded").cast("long").alias("folded_bytes"))
 
 
 FOLD_SQL = """

@@ -1,6 +1,7 @@
 """Native expressions against the exact operators, on texts that mix all the shapes."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,22 @@ def test_terminal(texts):
     same(texts, N.fold_repeats(F.col("text")), E.fold_repeats)
 
 
+def test_folding_is_linear(spark):
+    """A million lines in one row, in runs and without any."""
+    began = time.time()
+    rows = [("\n".join(f"line {i // 5}" for i in range(1_000_000)),), ("\n".join(map(str, range(1_000_000))),)]
+    df = spark.createDataFrame(rows, "text string")
+    got = [r[0] for r in df.select(N.fold_repeats(F.col("text"))).collect()]
+    assert got == [E.fold_repeats(t) for (t,) in rows] and time.time() - began < 40
+
+
+def test_tokens_that_overlap(spark):
+    """Counts are per token, also where one starts another or ends as it starts."""
+    df = spark.createDataFrame([("aaaa abab ababa INFOINFO --- FAIL FAILED",), ("",), ("✓ ✗ ",)], "text string")
+    for tokens in (["aa", "aba"], ["a", "ab"], S.LOG_LEVELS, S.TEST_TOKENS):
+        same(df, N.token_count(F.col("text"), tokens), lambda t, tokens=tokens: sum(t.count(x) for x in tokens))
+
+
 def test_classification(texts):
     def kind(t):
         k = E.classify(t)
