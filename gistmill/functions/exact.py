@@ -23,8 +23,12 @@ def size(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def ref(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[: S.REF_HEX]
+    return sha(text)[: S.REF_HEX]
 
 
 def _alternatives(words: list[str], flags: int = 0) -> re.Pattern:

@@ -79,7 +79,7 @@ k AS (SELECT *, {_body_sql("a", "a", "'see <tool_output>' || a[2:-2] || '</tool_
   {_body_sql("b", "to_json(again)::VARCHAR", "CASE WHEN out = blob THEN 'see <tool_output>' || a[2:-2] || '</tool_output> above' ELSE 'see ' || chr(92) || 'u003ctool_output' || chr(92) || 'u003e' || b[2:-2] || chr(92) || 'u003c/tool_output' || chr(92) || 'u003e above' END")} AS after,
   2 * (out <> blob)::INT + (again <> blob)::INT AS blocks FROM j)"""
 RESULTS_SQL = f"""{EXPECTED} SELECT user_id AS request_id, 'openai_chat' AS format, family, strlen(before) AS original_bytes, strlen(after) AS sent_bytes, strlen(before) - strlen(after) AS saved_bytes,
-  blocks::BIGINT AS blocks, CASE WHEN strlen(blob) < 512 AND out <> blob THEN 1 ELSE 0 END::BIGINT AS memo_hits, false AS skipped, NULL::VARCHAR AS error FROM k"""
+  blocks::BIGINT AS blocks, 0::BIGINT AS memo_hits, false AS skipped, NULL::VARCHAR AS error FROM k"""
 SHARED_SQL = f"{EXPECTED} SELECT user_id AS request_id, blocks::BIGINT AS blocks, sha256(after) AS body_sha FROM k"
 _QUOTED = "'see <tool_output>' || blob || '</tool_output> above'"
 ORIGINALS_SQL = f"""{EXPECTED}, t AS (SELECT blob AS text FROM k WHERE again <> blob OR out <> blob UNION SELECT {_QUOTED} FROM k WHERE out <> blob)

@@ -24,31 +24,37 @@ def content_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTENT_REF_SQL = "SELECT doc_id, sha256(text) AS ref, left(sha256(text), 12) AS short_ref FROM documents"
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as turns of one session a language, in order of doc_id: what stands for each, without texts."""
+    rows = _docs(spark, sf_dir).select("lang", "doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("size"))
+    marked = engine.dedup_marks(rows, "lang", "doc_id", "sha", "size")
+    return marked.withColumn("marker", F.when(F.col("doc_id") > F.col("first_turn"), engine.repeat_marker(F.col("first_turn"), F.col("size"), F.col("sha"))))
+
+
 def dedup_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as turns of one session a language, in order of doc_id."""
-    rows = engine.dedup_blocks(_docs(spark, sf_dir).select("lang", "doc_id", "text"), "lang", "doc_id", "text")
-    return rows.select("lang", "doc_id", "first_turn", F.sha2("deduped", 256).alias("deduped_sha"), F.octet_length("deduped").cast("long").alias("deduped_bytes"))
+    """The first turn of each text, and digests of what is left of it."""
+    sha, size = F.coalesce(F.sha2("marker", 256), "sha"), F.coalesce(F.octet_length("marker").cast("long"), "size")
+    return _marked(spark, sf_dir).select("lang", "doc_id", "first_turn", sha.alias("deduped_sha"), size.alias("deduped_bytes"))
 
 
 _DEDUP = f"""
-f AS (SELECT lang, doc_id, text, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS first_turn FROM documents),
-d AS (SELECT *, CASE WHEN strlen(text) >= 512 AND doc_id > first_turn THEN '[... {S.TAG}: identical to the copy in turn ' || first_turn || ' above (' || strlen(text) || ' bytes) · ref ' || left(sha256(text), 12) || ' ...]' ELSE text END AS deduped FROM f)"""
+f AS (SELECT lang, doc_id, text, CASE WHEN strlen(text) >= 512 THEN min(doc_id) OVER (PARTITION BY lang, sha256(text)) ELSE doc_id END AS first_turn FROM documents),
+d AS (SELECT *, CASE WHEN doc_id > first_turn THEN '[... {S.TAG}: identical to the copy in turn ' || first_turn || ' above (' || strlen(text) || ' bytes) · ref ' || left(sha256(text), 12) || ' ...]' ELSE text END AS deduped FROM f)"""
 DEDUP_TURNS_SQL = f"WITH {_DEDUP} SELECT lang, doc_id, first_turn, sha256(deduped) AS deduped_sha, strlen(deduped) AS deduped_bytes FROM d"
 
 
 def dedup_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engine.dedup_blocks(_docs(spark, sf_dir).select("lang", "doc_id", "text"), "lang", "doc_id", "text")
-    return rows.groupBy("lang").agg(
-        F.count_if(F.col("deduped") != F.col("text")).alias("repeats"), F.sum(F.octet_length("text")).alias("original_bytes"), F.sum(F.octet_length("text") - F.octet_length("deduped")).alias("saved_bytes")
-    )
+    saved = F.coalesce(F.col("size") - F.octet_length("marker"), F.lit(0))
+    return _marked(spark, sf_dir).groupBy("lang").agg(F.count("marker").alias("repeats"), F.sum("size").alias("original_bytes"), F.sum(saved).alias("saved_bytes"))
 
 
 DEDUP_SAVINGS_SQL = f"WITH {_DEDUP} SELECT lang, count(*) FILTER (deduped <> text) AS repeats, sum(strlen(text))::BIGINT AS original_bytes, sum(strlen(text) - strlen(deduped))::BIGINT AS saved_bytes FROM d GROUP BY lang"
 
 
 def originals_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text once."""
-    return files.put_originals(_docs(spark, sf_dir)).select("ref", F.octet_length("text").cast("long").alias("bytes"))
+    """Each text once.  What is asked of the texts here goes with their refs, so texts stay where they are."""
+    sized = _docs(spark, sf_dir).select(F.sha2("text", 256).alias("ref"), F.octet_length("text").cast("long").alias("bytes"))
+    return files.put_originals(sized, text_col="bytes").select("ref", F.col("text").alias("bytes"))
 
 
 ORIGINALS_SQL = "SELECT DISTINCT sha256(text) AS ref, strlen(text) AS bytes FROM documents"
@@ -80,8 +86,9 @@ def prefix_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.element_at(F.array(*map(F.lit, (2, 3, 4, 12))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     prefix = F.concat(F.lit(" "), F.upper(F.expr("substring(ref, 1, size)")), F.when(F.pmod("doc_id", F.lit(10)) == 9, "0f0f0f0f").otherwise(""))
     asked = docs.select("doc_id", F.sha2("text", 256).alias("ref"), size.alias("size")).select(prefix.alias("prefix")).distinct()
-    found = files.resolve(asked, files.put_originals(docs))
-    return found.select("prefix", "status", F.octet_length("text").cast("long").alias("bytes"))
+    kept = originals_store(spark, sf_dir)
+    found = files.resolve_refs(asked, kept.withColumn("text_sha", F.col("ref")))
+    return found.join(kept, "ref", "left").select("prefix", "status", "bytes")
 
 
 RESOLVE_SQL = """
@@ -93,15 +100,21 @@ SELECT prefix, CASE WHEN n = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE
 
 
 def decision_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many blocks of a family a decision serves."""
-    family = F.when(F.pmod("doc_id", F.lit(2)) == 0, "gpt").otherwise("claude")
-    rows = _docs(spark, sf_dir).select(family.alias("family"), F.sha2("text", 256).alias("content_sha"))
-    return rows.groupBy("family", "content_sha").agg(F.count("*").alias("blocks")).groupBy("family").agg(F.count("*").alias("decisions"), F.sum("blocks").alias("blocks"), F.sum(F.col("blocks") - 1).alias("reused"))
+    """Documents as blocks of two families, decided once each; what the even ones' decisions serve of all, and that rewrites are the same."""
+    family = F.when(F.pmod(F.floor(F.col("doc_id") / 2), F.lit(2)) == 0, "gpt").otherwise("claude")
+    blocks = X.texts(spark, sf_dir).select("doc_id", family.alias("family"), F.lit(False).alias("is_user"), "text")
+    one = engine.Engine(spark)
+    kept = one.decide(blocks.filter("doc_id % 2 = 0")).drop("served")
+    made = one.decide(blocks, kept.withColumn("used", F.lit(1).cast("long")))
+    uses = blocks.select("family", F.sha2("text", 256).alias("content_sha")).groupBy("family", "content_sha").agg(F.count("*").alias("blocks"))
+    rows = made.join(uses, ["family", "content_sha"])
+    return rows.groupBy("family", "served").agg(F.count("*").alias("decisions"), F.sum("blocks").alias("blocks"), F.count_if(F.sha2("out", 256) != F.col("content_sha")).alias("rewritten"))
 
 
 REUSE_SQL = """
-WITH g AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'gpt' ELSE 'claude' END AS family, sha256(text) AS s, count(*) AS n FROM documents GROUP BY ALL)
-SELECT family, count(*) AS decisions, sum(n)::BIGINT AS blocks, sum(n - 1)::BIGINT AS reused FROM g GROUP BY family"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id // 2 % 2 = 0 THEN 'gpt' ELSE 'claude' END AS family, sha256(text) AS s FROM documents),
+g AS (SELECT family, s, count(*) AS n, bool_or(doc_id % 2 = 0) AS served FROM d GROUP BY ALL)
+SELECT family, served, count(*) AS decisions, sum(n)::BIGINT AS blocks, 0::BIGINT AS rewritten FROM g GROUP BY family, served"""
 
 
 def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

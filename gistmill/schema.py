@@ -92,4 +92,4 @@ class Limits:
 
 REQUEST_LOG = "ts string, method string, path string, status int, format string, original_bytes long, sent_bytes long, saved_pct double, blocks int, memo_hits int, duration_ms double"
 ORIGINALS = "ref string, text string"
-DECISIONS = "family string, content_sha string, out string, pass string"
+DECISIONS = "family string, is_user boolean, content_sha string, out string, pass string, used long"

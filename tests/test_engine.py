@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gistmill import schema as S
 from gistmill.functions import exact as E
+from gistmill.plans import tables
 from gistmill.plans.engine import Engine, classified, dedup_blocks, distilled, explode_blocks
 from gistmill.sources import files
 from gistmill.streaming import turns
@@ -33,12 +34,58 @@ def test_results(spark, requests):
     assert Engine(spark, S.Limits(max_body=10)).apply(requests).filter("skipped").count() == requests.filter("octet_length(body) > 10").count()
 
 
+def reports(df):
+    """Rows without the time they took, their lists in order."""
+    rows = [r.asDict(recursive=True) for r in df.drop("duration_ms").collect()]
+    for r in rows:
+        r["decisions"] = sorted((d["text"], d["out"], d["pass"], d["is_user"]) for d in r["decisions"])
+    return sorted(map(str, rows))
+
+
 def test_plans_agree(spark, requests):
-    """Deciding distinct blocks once gives the same bodies as working body by body."""
-    single = requests.filter("body is not null and request_id <> 106")
-    one = {r.request_id: (r.body, r.blocks) for r in Engine(spark).apply(single).collect()}
-    two = {r.request_id: (r.body, r.blocks) for r in Engine(spark).apply_shared(single).collect()}
-    assert one == two
+    """Deciding distinct blocks once gives the same results as working body by body, also for repeated, null, odd and bounded bodies."""
+    for engine in (Engine(spark), Engine(spark, S.Limits(max_body=9000)), Engine(spark, S.Limits(max_block=8000, min_block=600), tag="cut")):
+        with tables.scope(spark):
+            assert reports(engine.apply(requests)) == reports(engine.apply_shared(requests))
+
+
+def test_shared_plan_leaves_its_changes_only(spark, requests):
+    import os
+
+    before = set(os.listdir(tables.root(spark).removeprefix("file://")))
+    with tables.scope(spark):
+        assert Engine(spark).apply_shared(requests).count() == requests.count()
+        assert [x.rpartition("-")[0] for x in set(os.listdir(tables.root(spark).removeprefix("file://"))) - before] == ["changes"]
+    assert set(os.listdir(tables.root(spark).removeprefix("file://"))) == before
+
+
+def exchanged(df):
+    """The text columns that any exchange of the plan carries, and how many exchanges there are."""
+    todo, found, n = [df._jdf.queryExecution().executedPlan()], set(), 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+            continue
+        if "Exchange" in node.nodeName():
+            n += 1
+            out = node.output()
+            found |= {out.apply(i).name() for i in range(out.size()) if out.apply(i).dataType().simpleString() == "string"}
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return found, n
+
+
+def test_texts_stay_out_of_exchanges(spark):
+    from gistmill.operators import sets
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("prefix_resolve", "dedup_turns", "dedup_savings", "originals_store"):
+            carried, n = exchanged(sets.QUERIES[name](spark, "/root/testdata/sf0.001"))
+            assert n and not carried & {"text", "deduped", "body"}, (name, carried)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_partitions_do_not_matter(spark, requests):
@@ -49,10 +96,35 @@ def test_partitions_do_not_matter(spark, requests):
 
 def test_decisions_are_reused(spark, requests):
     engine = Engine(spark)
-    blocks = explode_blocks(requests.filter("request_id < 40")).select(F.lit("gpt").alias("family"), "is_user", F.col("text").alias("deduped"))
-    first = engine.decide(blocks)
+    blocks = explode_blocks(requests.filter("request_id < 40")).select(F.lit("gpt").alias("family"), "is_user", "text")
+    first = engine.decide(blocks).drop("served")
     pinned = first.withColumn("out", F.lit("pinned"))
-    assert {r.out for r in engine.decide(blocks, pinned.cache()).collect()} == {"pinned"}
+    assert {(r.out, r.served) for r in engine.decide(blocks, pinned.cache()).collect()} == {("pinned", True)}
+
+
+def test_decisions_outlive_a_run(spark, requests, tmp_path):
+    """A second run with other parameters serves what the first decided, in both plans, and counts it; no more than the capacity stays."""
+    engine, later = Engine(spark), Engine(spark, tag="other")
+    first = engine.apply(requests)
+    files.write_decisions(files.merge_decisions(engine.decisions(first, 1)), str(tmp_path / "one"))
+    kept = files.read_decisions(spark, str(tmp_path / "one"))
+    assert kept.count() > 5
+    for plan in (later.apply, later.apply_shared):
+        again = plan(requests, decisions=kept)
+        by = {(r.request_id, r.original_bytes): r for r in again.collect()}
+        for r in first.collect():
+            now = by[r.request_id, r.original_bytes]
+            assert now.memo_hits == sum(d["pass"] != "repeat" for d in r.decisions) and now.blocks == r.blocks
+            if all(d["pass"] != "repeat" for d in r.decisions):
+                assert now.body == r.body
+    # the least recently used go first; what is used again stays as it was
+    fresh = engine.decisions(first.filter("request_id < 9"), 2)
+    n = fresh.count()
+    used = files.merge_decisions(fresh, kept, n + 1).collect()
+    assert 0 < n < kept.count() and sorted(r.used for r in used) == [1] + [2] * n
+    changed = kept.withColumn("out", F.lit("new")).withColumn("used", F.lit(7).cast("long"))
+    assert {(r.out == "new", r.used) for r in files.merge_decisions(changed, kept).collect()} == {(False, 7)}
+    assert files.merge_decisions(kept, None, 0).count() == 0 and later.apply(requests, decisions=kept, capacity=0).filter("memo_hits > 0").count() == 0
 
 
 def test_originals_resolve(spark, requests, tmp_path):
@@ -73,7 +145,12 @@ def test_originals_resolve(spark, requests, tmp_path):
 def test_log_round_trip(spark, requests, tmp_path):
     out = files.request_log(Engine(spark).apply(requests), "2026-01-02T00:00:00Z")
     files.write_log(out, str(tmp_path / "log"))
-    assert sorted(map(tuple, files.read_log(spark, str(tmp_path / "log")).collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
+    back = files.read_log(spark, str(tmp_path / "log"))
+    plain = lambda df: sorted((str(r.asDict()) for r in df.drop("duration_ms").collect()))
+    assert plain(back) == plain(out) and back.filter("duration_ms > 0").count() == out.count()
+    told = {r.format: r for r in files.latency(back).collect()}
+    assert sum(r.requests for r in told.values()) == out.count() and all(0 < r.median_ms <= r.p95_ms for r in told.values())
+    assert {r.status for r in files.request_log(Engine(spark).apply(requests), "t", status=F.when(F.col("error").isNull(), 201).otherwise(500)).collect()} <= {201, 500}
 
 
 def test_bodies_source(spark, tmp_path):
@@ -93,7 +170,9 @@ def test_dedup_by_turn(spark):
     text = "x" * 600
     df = spark.createDataFrame([(1, 1, text), (1, 1, text), (1, 3, text), (1, 4, "short"), (1, 5, "short"), (2, 9, text)], "conv_id long, turn long, text string")
     got = sorted((r.conv_id, r.turn, r.first_turn, r.deduped == r.text) for r in dedup_blocks(df, "conv_id", "turn", "text").collect())
-    assert got == [(1, 1, 1, True), (1, 1, 1, True), (1, 3, 1, False), (1, 4, 4, True), (1, 5, 4, True), (2, 9, 9, True)]
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (1, 3, 1, False), (1, 4, 4, True), (1, 5, 5, True), (2, 9, 9, True)]
+    odd = spark.createDataFrame([(None, 1, text), (None, 2, text), (1, 3, None), (1, 4, None), (1, 5, "")], "conv_id long, turn long, text string")
+    assert sorted(str(tuple(r)[:2] + (r.first_turn,)) for r in dedup_blocks(odd, "conv_id", "turn", "text").collect()) == ["(1, 3, 3)", "(1, 4, 4)", "(1, 5, 5)", "(None, 1, 1)", "(None, 2, 1)"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
