@@ -123,21 +123,6 @@ def number_json(value: float) -> str:
     return sign + (_plain(digits, point) if -6 <= point - 1 < 21 else _scientific(digits, point, 1 if point < 1 else 2))
 
 
-def cell(value) -> str:
-    """A JSON value as text in a table cell; nested values as map[...] and [...]."""
-    if value is None:
-        return "<nil>"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float):
-        return number_cell(value)
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list):
-        return "[" + " ".join(map(cell, value)) + "]"
-    return "map[" + " ".join(f"{k}:{cell(v)}" for k, v in sorted(value.items())) + "]"
-
-
 _ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 _ESCAPED = re.compile('[\x00-\x1f"\\\\<>&\u2028\u2029\ud800-\udfff]')
 
@@ -169,6 +154,17 @@ def dense(value) -> str:
     return "{" + ",".join(f"{json_string(k)}:{dense(v)}" for k, v in sorted(value.items())) + "}"
 
 
+def cell(value) -> str:
+    """A JSON value as text in a table cell; nested values as dense JSON."""
+    if value is None:
+        return "<nil>"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return number_cell(value)
+    return value if isinstance(value, str) else dense(value)
+
+
 # ---------------------------------------------------------------- J1-J11: JSON distilling
 
 
@@ -274,6 +270,22 @@ def table(root, path: tuple[str, ...], tag: str) -> str | None:
     return head + "\n".join(rows) + "\n"
 
 
+def lift(text: str) -> tuple[str, int, list[str]] | None:
+    """The path, rows and dropped keys of the array that would become a table: keys that later rows have and the first, which names the columns, has not."""
+    try:
+        root = parse(text.strip(SPACES))
+        path = liftable(root)
+    except ValueError:
+        return None
+    if path is None:
+        return None
+    items = root
+    for key in path:
+        items = items[key]
+    dropped = {k for item in items if isinstance(item, dict) for k in item if k not in items[0] and not is_metadata(k)}
+    return ".".join(path), len(items), sorted(dropped)
+
+
 def pruned(value) -> tuple[object, bool]:
     """Without null and metadata members, null elements and members that are or become empty; and whether that changed it."""
     if isinstance(value, dict):
@@ -465,8 +477,8 @@ def elide(text: str, family: str, tag: str = S.TAG) -> str | None:
             kept += middle[i:after][: p.max_kept - len(kept)]
         else:
             dropped += 1
-    note = f"· {dropped} more failure lines over cap={p.max_kept}, see local copy " if dropped else ""
-    marker = f"[... {tag}: {len(middle) - len(kept)} middle lines elided · full text kept locally as {ref(text)} {note}...]"
+    note = S.MORE_FAILURES.format(dropped=dropped, cap=p.max_kept) if dropped else ""
+    marker = S.ELIDED.format(tag=tag, lines=len(middle) - len(kept), ref=ref(text), note=note)
     out = "\n".join([*lines[: p.head], marker, *kept, *lines[len(lines) - p.tail :]])
     return out if size(out) <= size(text) * S.HEAD_TAIL_FLOOR else None
 

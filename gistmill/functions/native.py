@@ -35,6 +35,12 @@ CSI = "\x1b\\[[^\x40-\x7e]*[\x40-\x7e]"
 OSC = "\x1b\\](?:(?!\x1b\\\\)[^\x07])*(?:\x07|\x1b\\\\)"
 
 
+def worded(template: str, **values: Column) -> Column:
+    """A marker: the template with its names replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
 def family(model: Column) -> Column:
     """The model family of a model name."""
     low = F.lower(F.coalesce(model, F.lit("")))
@@ -172,8 +178,8 @@ def _assembled(text: Column, lines: Column, done: Column, family_name: Column, t
     value = lambda field: family_value(family_name, field)
     head, tail = value("head"), value("tail")
     count = F.greatest(F.lit(0), F.size(lines) - head - tail) - F.size(done["kept"])
-    note = F.when(done["dropped"] > 0, F.concat(F.lit("· "), done["dropped"].cast("string"), F.lit(" more failure lines over cap="), value("max_kept").cast("string"), F.lit(", see local copy "))).otherwise("")
-    marker = F.concat(F.lit(f"[... {tag}: "), count.cast("string"), F.lit(" middle lines elided · full text kept locally as "), ref(text), F.lit(" "), note, F.lit("...]"))
+    note = F.when(done["dropped"] > 0, worded(S.MORE_FAILURES, dropped=done["dropped"], cap=value("max_kept"))).otherwise("")
+    marker = worded(S.ELIDED, tag=F.lit(tag), lines=count, ref=ref(text), note=note)
     parts = F.concat(F.slice(lines, F.lit(1), head), F.array(marker), done["kept"], F.slice(lines, F.size(lines) - tail + 1, tail))
     return F.array_join(parts, "\n")
 

@@ -115,11 +115,16 @@ SELECT user_id, test_score::BIGINT AS test_score, log_score::BIGINT AS log_score
   WHEN log_score >= 3 AND (dated >= 3 OR regexp_matches(substr(blob, 1, 8192), '\\[|level=|lvl=')) THEN 'log_output' ELSE 'prose' END AS kind FROM g"""
 
 
-def classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and text of documents, logs and JSON arrays."""
     docs = X.texts(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
     logs = X.logs(spark, sf_dir).select(F.concat(F.lit("log-"), F.col("user_id").cast("string")).alias("id"), F.col("blob").alias("text"))
     arrays = X.arrays(spark, sf_dir).select(F.concat(F.lit("json-"), F.col("user_id").cast("string")).alias("id"), F.col("doc").alias("text"))
-    return engine.classified(docs.unionByName(logs).unionByName(arrays), "id", "text")
+    return docs.unionByName(logs).unionByName(arrays)
+
+
+def classify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.classified(mixed(spark, sf_dir), "id", "text")
 
 
 _STARTS_WITH = lambda words: _sql("^" + N.any_of(words))
@@ -248,6 +253,15 @@ f AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY first) AS out FROM o GROU
 SELECT doc_id, sha256(out) AS folded_sha, strlen(out) AS folded_bytes FROM f"""
 
 
+def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after a byte order mark, without it and in lower case of ASCII."""
+    text = N.without_bom(F.concat(F.lit("\ufeff"), "text"))
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha"), F.sha2(N.ascii_lower(F.concat(F.lit("ÀÉ"), text)), 256).alias("lower_sha"), F.sha2(N.without_bom(text), 256).alias("again_sha"))
+
+
+TEXT_MARKS_SQL = "SELECT doc_id, sha256(text) AS text_sha, sha256('ÀÉ' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lower_sha, sha256(text) AS again_sha FROM documents"
+
+
 def lockfile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, PATHS))).alias("p"))
     path = F.concat(F.lit("d"), F.col("n_nationkey").cast("string"), F.lit("/"), "p")
@@ -262,11 +276,8 @@ SELECT path, base IN ({', '.join(repr(x) for x in S.LOCKFILES)}) OR suffix(base,
 
 def gate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The native parts of the gate, over documents, logs and JSON."""
-    docs = X.texts(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
-    logs = X.logs(spark, sf_dir).select(F.concat(F.lit("log-"), F.col("user_id").cast("string")).alias("id"), F.col("blob").alias("text"))
-    arrays = X.arrays(spark, sf_dir).select(F.concat(F.lit("json-"), F.col("user_id").cast("string")).alias("id"), F.col("doc").alias("text"))
     text = F.col("text")
-    return docs.unionByName(logs).unionByName(arrays).select(
+    return mixed(spark, sf_dir).select(
         "id", text.rlike(r"(?U)^\s*[{\[]").alias("bracketed"), N.prunable(text).alias("prunable"), N.unified_diff(text).alias("diff"), (F.contains(text, F.lit("\x1b")) | F.contains(text, F.lit("\r"))).alias("terminal")
     )
 
@@ -315,12 +326,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         family_detect, block_bounds, fast_bailout, line_stats, mustkeep_lines, diagnostic_lines, classify_log, classify_all, elide_headtail, elide_savings, savings_by_family,
-        savings_percentiles, strip_ansi, clean_returns, fold_repeats, lockfile_paths, gate_flags, prunable_feature, block_cascade, document_cascade,
+        savings_percentiles, strip_ansi, clean_returns, fold_repeats, text_marks, lockfile_paths, gate_flags, prunable_feature, block_cascade, document_cascade,
     )
 }
 SQL = {
     "family_detect": FAMILY_DETECT_SQL, "block_bounds": BLOCK_BOUNDS_SQL, "fast_bailout": FAST_BAILOUT_SQL, "line_stats": LINE_STATS_SQL, "mustkeep_lines": MUSTKEEP_SQL, "diagnostic_lines": DIAGNOSTIC_SQL,
     "classify_log": CLASSIFY_LOG_SQL, "elide_headtail": ELIDE_SQL, "elide_savings": ELIDE_SAVINGS_SQL, "savings_by_family": SAVINGS_BY_FAMILY_SQL, "savings_percentiles": SAVINGS_PERCENTILES_SQL,
-    "strip_ansi": STRIP_ANSI_SQL, "clean_returns": CLEAN_RETURNS_SQL, "fold_repeats": FOLD_SQL, "lockfile_paths": LOCKFILE_SQL, "gate_flags": GATE_SQL, "prunable_feature": PRUNABLE_SQL, "block_cascade": CASCADE_SQL,
+    "strip_ansi": STRIP_ANSI_SQL, "clean_returns": CLEAN_RETURNS_SQL, "fold_repeats": FOLD_SQL, "text_marks": TEXT_MARKS_SQL, "lockfile_paths": LOCKFILE_SQL, "gate_flags": GATE_SQL, "prunable_feature": PRUNABLE_SQL, "block_cascade": CASCADE_SQL,
     "classify_all": CLASSIFY_ALL_SQL, "document_cascade": DOCUMENT_CASCADE_SQL,
 }

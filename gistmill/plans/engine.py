@@ -95,6 +95,23 @@ def classified(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _map_text(texts, id_col, text_col, "kind string", {"kind": pa.string()}, lambda t: [{"kind": E.classify(t or "")}])
 
 
+def gated(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """P15, P16 over a table: whether any pass could change a text."""
+    return _map_text(texts, id_col, text_col, "gated boolean", {"gated": pa.bool_()}, lambda t: [{"gated": E.gate(t or "")}])
+
+
+def lifts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """J1, J2 over a table: path, rows and dropped_keys of what could become a table; one row of nulls where nothing can without loss."""
+    types = {"path": pa.string(), "rows": pa.int64(), "dropped_keys": pa.list_(pa.string())}
+    return _map_text(texts, id_col, text_col, "path string, rows long, dropped_keys array<string>", types, lambda t: [dict(zip(types, E.lift(t or "") or (None, None, None)))])
+
+
+def distilled_user(texts: DataFrame, id_col: str, text_col: str, family: str = "generic", limits: S.Limits = S.Limits(), tag: str = S.TAG) -> DataFrame:
+    """T12 over a table of user texts: id, out, pass."""
+    rows = lambda t: [dict(zip(("out", "pass"), E.distill_user(t or "", family, limits, tag)))]
+    return _map_text(texts, id_col, text_col, "out string, pass string", {"out": pa.string(), "pass": pa.string()}, rows)
+
+
 def distilled(texts: DataFrame, id_col: str, text_col: str, family: str = "generic", limits: S.Limits = S.Limits(), tag: str = S.TAG, fold_ungated: bool = False) -> DataFrame:
     """T13 over a table of blocks: id, out, pass."""
 
@@ -107,9 +124,7 @@ def distilled(texts: DataFrame, id_col: str, text_col: str, family: str = "gener
 
 def repeat_marker(first_turn: Column, size: Column, sha: Column, tag: str = S.TAG) -> Column:
     """What stands for a repeated text of ``size`` bytes with the hash ``sha``."""
-    return F.concat(
-        F.lit(f"[... {tag}: identical to the copy in turn "), first_turn.cast("string"), F.lit(" above ("), size.cast("string"), F.lit(" bytes) · ref "), F.substring(sha, 1, S.REF_HEX), F.lit(" ...]")
-    )
+    return N.worded(S.REPEATED, tag=F.lit(tag), turn=first_turn, size=size, ref=F.substring(sha, 1, S.REF_HEX))
 
 
 def dedup_marks(blocks: DataFrame, group: str, turn: str, sha: str, size: str) -> DataFrame:

@@ -75,6 +75,10 @@ FAMILY_MARKS = [("claude", ["claude"]), ("deepseek", ["deepseek"]), ("gpt", ["gp
 
 #: Name in the markers that the distiller leaves in a text.
 TAG = "distilled"
+# The wording of markers.
+ELIDED = "[... {tag}: {lines} middle lines elided · full text kept locally as {ref} {note}...]"
+MORE_FAILURES = "· {dropped} more failure lines over cap={cap}, see local copy "
+REPEATED = "[... {tag}: identical to the copy in turn {turn} above ({size} bytes) · ref {ref} ...]"
 
 
 @dataclass(frozen=True)

@@ -192,6 +192,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_state_expires(spark, tmp_path):
+    """Without a bound a text is known for good; with one, a copy that comes later is a first turn again."""
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    first = {}
+    for name, ttl in (("kept", None), ("bounded", 1)):
+        for turn in (1, 2):
+            spark.createDataFrame([(7, turn, "t" * 600), (7, turn, None)], "conv_id long, turn long, text string").coalesce(1).write.mode("append").json(str(tmp_path / name / "in"))
+            stream = spark.readStream.schema("conv_id long, turn long, text string").json(str(tmp_path / name / "in"))
+            turns.dedup_stream(stream, ttl).writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+            time.sleep(1.5)
+        rows = spark.read.parquet(str(tmp_path / name / "out")).collect()
+        first[name] = sorted((r.turn, r.first_turn) for r in rows if r.text)
+        assert sorted(r.turn for r in rows if r.text is None) == [1, 2]
+    assert first == {"kept": [(1, 1), (2, 1)], "bounded": [(1, 1), (2, 2)]}
+
+
 def test_engine_stream(spark, requests, tmp_path):
     requests.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(requests.schema).parquet(str(tmp_path / "in"))
