@@ -53,7 +53,10 @@ class FirstTurns(StatefulProcessor):
 
 
 def dedup_stream(turns: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
-    """R1 over a stream of (conv_id, turn, text): each turn once, in append mode.  The session's state store must be RocksDB."""
+    """R1 over a stream of (conv_id, turn, text): each turn once, in append mode.  The session's state store must be RocksDB.
+
+    With ``ttl_seconds`` the stream follows the clock, so it does not end by itself when all is read (trigger ``once`` does).
+    """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
     long = F.coalesce(F.octet_length("text") >= S.DEDUP_FLOOR, F.lit(False))
     short = rows.filter(~long).select("conv_id", "turn", "text", F.col("text").alias("deduped"), F.col("turn").alias("first_turn"))
