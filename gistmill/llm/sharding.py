@@ -7,8 +7,8 @@ plus the running sum inside the partition.  Shard k holds the rows whose byte mi
 lies in [k, k+1) of ``shards`` equal parts of all bytes, so shards are contiguous and
 differ from the target by less than the two rows at their ends.
 
-The range partition is over ids and so does not depend on sources, groups of copies or
-text lengths: no key gathers rows.  Only ids, sizes and checksums are shuffled.
+The range partition is over ids, and over the place of a row in the input where all else is equal, and so does not depend on sources, groups of copies or
+text lengths: no key gathers rows, not even one that a third of all rows share with equal texts.  Only ids, sizes and checksums are shuffled.
 
 Defined cases.  A null text has no bytes, so its size is 1 and its checksum that of the
 empty string.  Null ids come first.  Repeated rows each take a slot of their own; which of
@@ -25,7 +25,7 @@ from gistmill.llm.common import delete, stored
 
 
 def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str] | None = None) -> tuple[DataFrame, str]:
-    """``df`` with, for each column c of ``sizes``, c_before: its sum over all earlier rows in ``order``.
+    """``df`` with, for each column c of ``sizes``, c_before: its sum over all earlier rows in ``order``; ties are spread as they come.
 
     With ``within`` (leading columns of ``order``), sums restart for each of its values.
     A helper table holds a row for each partition (and value of ``within`` in it).  The path of
@@ -34,14 +34,16 @@ def placed(df: DataFrame, order: list[str], sizes: list[str], within: list[str]
     spark = df.sparkSession
     within = within or []
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, path = stored(df.repartitionByRange(parts, *order).withColumn("gm_part", F.spark_partition_id()), "ranges")
+    # rows that are equal in all of ``order`` are told apart by their places, so that many of them still are several ranges
+    spread = [*order, "gm_tie"]
+    dealt, path = stored(df.withColumn("gm_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *spread).withColumn("gm_part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy(*within, "gm_part").agg(*[F.sum(c).alias(f"{c}_sum") for c in sizes])
     before = Window.partitionBy(*within).orderBy("gm_part").rowsBetween(Window.unboundedPreceding, -1)
     if within:
         crossing = totals.groupBy(*within).agg(F.min("gm_part").alias("gm_first"), F.max("gm_part").alias("gm_last")).filter("gm_first < gm_last")
         totals = totals.alias("t").join(crossing.alias("c"), [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in within], "left_semi")
     offsets = totals.select(*within, "gm_part", *[F.coalesce(F.sum(f"{c}_sum").over(before), F.lit(0)).alias(f"{c}_offset") for c in sizes])
-    inside = Window.partitionBy("gm_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("gm_part", *within).orderBy(*spread).rowsBetween(Window.unboundedPreceding, -1)
     rows = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in sizes])
     keys = [*within, "gm_part"]
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
