@@ -155,22 +155,23 @@ def fold_repeats(text: Column) -> Column:
 
 
 def _rescued(lines: Column, family_name: Column) -> Column:
-    """The middle lines folded to (kept lines, lines of context still to keep, failures over the cap)."""
+    """(kept lines, place after the context of the last failure kept, failures over the cap) of the middle lines; a fold over failures only."""
     value = lambda field: family_value(family_name, field)
-    middle = F.slice(lines, value("head") + 1, F.greatest(F.lit(0), F.size(lines) - value("head") - value("tail")))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("context"), F.lit(0).alias("dropped"))
-
-    def step(state: Column, line: Column) -> Column:
-        room, fails = F.size(state["kept"]) < value("max_kept"), must_keep(line)
-        context = state["context"] > 0
-        take = room & (context | fails)
+    head, n = value("head"), F.greatest(F.lit(0), F.size(lines) - value("head") - value("tail"))
+    failures = F.array_compact(F.transform(F.slice(lines, head + 1, n), lambda line, i: F.when(must_keep(line), i)))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("after"), F.lit(0).alias("dropped"))
+
+    def step(state: Column, i: Column) -> Column:
+        free, past = value("max_kept") - F.size(state["kept"]), i < state["after"]
+        take = ~past & (free > 0)
+        block = F.slice(lines, head + i + 1, F.least(value("context_after") + 1, free, n - i))
         return F.struct(
-            F.when(take, F.concat(state["kept"], F.array(line))).otherwise(state["kept"]).alias("kept"),
-            F.when(context, state["context"] - 1).when(take, value("context_after")).otherwise(F.lit(0)).alias("context"),
-            F.when(~context & ~room & fails, state["dropped"] + 1).otherwise(state["dropped"]).alias("dropped"),
+            F.when(take, F.concat(state["kept"], block)).otherwise(state["kept"]).alias("kept"),
+            F.when(take, i + 1 + value("context_after")).otherwise(state["after"]).alias("after"),
+            F.when(past | take, state["dropped"]).otherwise(state["dropped"] + 1).alias("dropped"),
         )
 
-    return F.aggregate(middle, start, step)
+    return F.aggregate(failures, start, step)
 
 
 def _assembled(text: Column, lines: Column, done: Column, family_name: Column, tag: str) -> Column:
@@ -180,7 +181,7 @@ def _assembled(text: Column, lines: Column, done: Column, family_name: Column, t
     count = F.greatest(F.lit(0), F.size(lines) - head - tail) - F.size(done["kept"])
     note = F.when(done["dropped"] > 0, worded(S.MORE_FAILURES, dropped=done["dropped"], cap=value("max_kept"))).otherwise("")
     marker = worded(S.ELIDED, tag=F.lit(tag), lines=count, ref=ref(text), note=note)
-    parts = F.concat(F.slice(lines, F.lit(1), head), F.array(marker), done["kept"], F.slice(lines, F.size(lines) - tail + 1, tail))
+    parts = F.concat(F.slice(lines, F.lit(1), head), F.array(marker), done["kept"], F.slice(lines, F.greatest(F.lit(1), F.size(lines) - tail + 1), tail))
     return F.array_join(parts, "\n")
 
 
@@ -193,9 +194,8 @@ def _accepted(text: Column, lines: Column, made: Column, family_name: Column, ta
 
 def elided(text: Column, family_name: Column, tag: str = S.TAG) -> Column:
     """T1-T3 as one expression."""
-    lines = F.split(text, "\n")
-    made = _assembled(text, lines, _rescued(lines, family_name), family_name, tag)
-    return _accepted(text, lines, made, family_name, tag)
+    made = lambda lines: _let(_rescued(lines, family_name), lambda done: _assembled(text, lines, done, family_name, tag))
+    return _let(F.split(text, "\n"), lambda lines: _let(made(lines), lambda out: _accepted(text, lines, out, family_name, tag)))
 
 
 def with_elision(df: DataFrame, text: str, family_name: Column, out: str, tag: str = S.TAG) -> DataFrame:

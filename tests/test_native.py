@@ -38,6 +38,14 @@ def test_elision(texts, family):
     same(texts, N.elided(F.col("text"), F.lit(family)), lambda t: E.elide(t, family) or t)
 
 
+def test_elision_by_steps(spark, texts):
+    """The projections give what the one expression gives, for texts of every number of lines about the bounds."""
+    rows = [(2000 + n, "\n".join(["x" * 90] * n)) for n in range(70)]
+    df = spark.createDataFrame(rows, "id long, text string").unionByName(texts)
+    for family in S.FAMILIES:
+        same(N.with_elision(df, "text", F.lit(family), "out"), F.col("out"), lambda t, family=family: E.elide(t, family) or t)
+
+
 def test_terminal(texts):
     same(texts, N.strip_ansi(F.col("text")), E.strip_ansi)
     same(texts, N.clean_returns(F.col("text")), E.clean_returns)
