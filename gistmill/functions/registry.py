@@ -40,15 +40,8 @@ def wire_format(body: pd.Series) -> pd.Series:
 
 class ExplodeBlocks:
     def eval(self, body: str) -> Iterator[tuple]:
-        wire = B.detect(body)
-        if wire not in ("openai_chat", "anthropic_messages"):
-            return
-        at = length = 0
-        for b in B.blocks(body, wire):
-            length += E.size(body[at : b.start])
-            n = E.size(body[b.start : b.end])
-            yield b.turn, b.block, b.item, b.role, b.is_user, b.text, length, n
-            length, at = length + n, b.end
+        for b in B.exploded(body):
+            yield b["turn"], b["block_ix"], b["item_ix"], b["role"], b["is_user"], b["text"], b["byte_start"], b["byte_len"]
 
 
 def register(spark: SparkSession) -> None:

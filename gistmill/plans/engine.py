@@ -55,34 +55,13 @@ def _map_text(df: DataFrame, id_col: str, text_col: str, ddl: str, types: dict[s
     return narrow.mapInArrow(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {ddl}")
 
 
-def _exploded(body: str | None) -> list[dict]:
-    wire = B.detect(body)
-    if wire not in ("openai_chat", "anthropic_messages"):
-        return []
-    out = []
-    try:
-        model = B.string(body, B.scan(body).get("model"))
-        at = length = 0
-        for b in B.blocks(body, wire):
-            length += E.size(body[at : b.start])
-            n = E.size(body[b.start : b.end])
-            out.append({
-                "format": wire, "model": model, "turn": b.turn, "block_ix": b.block, "item_ix": b.item, "role": b.role, "is_user": b.is_user, "text": b.text,
-                "byte_start": length, "byte_len": n,
-            })
-            length, at = length + n, b.end
-    except (ValueError, RecursionError, IndexError, AttributeError, TypeError):
-        return []  # a body that cannot be walked has no blocks, as in the engine
-    return out
-
-
 def explode_blocks(requests: DataFrame, id_col: str = "request_id", body_col: str = "body") -> DataFrame:
     """One row per block of every body, with its place in bytes."""
     types = {
         "format": pa.string(), "model": pa.string(), "turn": pa.int32(), "block_ix": pa.int32(), "item_ix": pa.int32(), "role": pa.string(), "is_user": pa.bool_(),
         "text": pa.string(), "byte_start": pa.int32(), "byte_len": pa.int32(),
     }
-    return _map_text(requests, id_col, body_col, _BLOCK_DDL, types, _exploded)
+    return _map_text(requests, id_col, body_col, _BLOCK_DDL, types, B.exploded)
 
 
 def wire_format(requests: DataFrame, id_col: str = "request_id", body_col: str = "body") -> DataFrame:

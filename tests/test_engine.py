@@ -237,6 +237,8 @@ def test_sql_functions(spark):
     from gistmill.functions import registry
 
     registry.register(spark)
+    deep = '{"messages":[],"x":' + '{"a":' * 900 + "1" + "}" * 901
+    assert spark.createDataFrame([(9, deep)], "request_id long, body string").transform(explode_blocks).count() == 0
     spark.createDataFrame([(1, chat(("tool", log(600)), ("user", "é hello"))), (2, "{oops"), (3, None)], "id long, body string").createOrReplaceTempView("t")
     got = spark.sql("SELECT id, b.*, substring(encode(body, 'utf-8'), b.byte_start + 1, b.byte_len) AS raw FROM t, LATERAL explode_blocks(body) b").collect()
     assert [(r.id, r.turn, r.role, json.loads(bytes(r.raw))) for r in got] == [(1, 1, "tool", log(600)), (1, 2, "user", "é hello")]
