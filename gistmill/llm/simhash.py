@@ -414,6 +414,21 @@ def sketches(rows: DataFrame, width: int = 5) -> DataFrame:
     return rows.mapInArrow(work, f"gm_id {kind}, gm_r1 long, gm_r2 long, gm_k1 long, gm_k2 long, gm_n long, " + ", ".join(f"{n} int" for n in _NAMES))
 
 
+#: Words of 64 bits in the bitmap of ``_sifted``.
+_WORDS = 1 << 20
+
+
+def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose gm_r1 may be in ``wanted``, so that few texts are shuffled to be joined with it.
+
+    A bitmap of 2^26 bits by hash, as a table of at most 2^20 words, which bounds what is broadcast: in very large tables more rows that aren't wanted pass,
+    never fewer that are.
+    """
+    word, bit = F.shiftrightunsigned("gm_r1", 6).bitwiseAND(F.lit(_WORDS - 1)), F.expr("shiftleft(1L, cast(gm_r1 & 63 as int))")
+    words = wanted.groupBy(word.alias("gm_word")).agg(F.bit_or(bit).alias("gm_bits"))
+    return rows.join(F.broadcast(words), word == F.col("gm_word")).filter(F.col("gm_bits").bitwiseAND(bit) != 0).drop("gm_word", "gm_bits")
+
+
 def _read_sets(rows: DataFrame, nodes: DataFrame, width: int = 5) -> Callable[[DataFrame], tuple[DataFrame, str]]:
     """For ``_linked``: gm_node, gm_marks and gm_set of the nodes that share a cell, from one text of each, read again."""
 
@@ -426,9 +441,11 @@ def _read_sets(rows: DataFrame, nodes: DataFrame, width: int = 5) -> Callable[[D
             )
 
     def read(met: DataFrame) -> tuple[DataFrame, str]:
-        wanted = nodes.join(met.select("gm_node").distinct(), "gm_node", "left_semi").select("gm_node", "gm_r1", "gm_r2")
-        chosen = rows.join(wanted, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_node", "gm_text")
-        return stored(chosen.mapInArrow(work, "gm_node long, gm_marks binary, gm_set binary"), "sets")
+        wanted, path = stored(nodes.join(met.select("gm_node").distinct(), "gm_node", "left_semi").select("gm_node", "gm_r1", "gm_r2"), "wanted")
+        chosen = _sifted(rows, wanted).join(wanted, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_node", "gm_text")
+        sets = stored(chosen.mapInArrow(work, "gm_node long, gm_marks binary, gm_set binary"), "sets")
+        delete(rows.sparkSession, path)
+        return sets
 
     return read
 

@@ -159,6 +159,17 @@ def test_links_of_large_cells_are_few(spark):
     assert sorted(H.bridges(np.arange(45), np.arange(45, 90), label, near))[0][0] == 0 and len(H.bridges(np.arange(45), np.arange(45, 90), label, near)) == 1
 
 
+def test_sifting_loses_no_row(spark, monkeypatch):
+    """Every wanted row passes the bitmap, also one that is full; few others pass one that is not."""
+    rows = spark.range(3000).select(F.xxhash64("id").alias("gm_r1"), "id")
+    wanted = rows.filter("id % 10 = 0").select("gm_r1")
+    for words, most in ((1 << 20, 310), (8, 3000)):
+        monkeypatch.setattr(H, "_WORDS", words)
+        got = [r.id for r in H._sifted(rows, wanted).collect()]
+        assert set(range(0, 3000, 10)) <= set(got) and len(got) == len(set(got)) <= most
+        assert H._sifted(rows, wanted.limit(0)).count() == 0
+
+
 def shingle_sets(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
