@@ -18,7 +18,9 @@ compared inside one task, which returns a spanning forest of the links it found,
 done then.  In a larger cell most links are found by now, as blocks differ from cell to cell: its nodes outside the largest component
 of the cell are compared with that component's, and with each other, block by block, and only links between
 different components are returned.  SimHash cells are cut finer before that, by covering masks of the bits that
-the cell's mask leaves free; what shares two masks has at most 2^17 fingerprints.  Components are found by
+the cell's mask leaves free; what shares two masks has at most 2^17 fingerprints.  In a MinHash cell in which the nodes outside are many, as texts are that
+share a frequent passage only, these are compared where they share a second band (of the 19 others; a pair of 0.8 shares none with a
+probability of 5e-5).  Components are found by
 alternating star contraction on stored tables.
 
 ``near_groups`` links two texts if the Jaccard similarity of their sets of 5-word shingles is 0.8 or
@@ -53,6 +55,8 @@ BANDS, ROWS, LEAST = 20, 4, 48
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Rows and bytes of a block of nodes.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Blocks of a cell whose nodes are compared with each other without looking for cells that tell them apart.
+APART = 8
 _BITS = np.array([[(byte >> bit) & 1 for bit in range(8)] for byte in range(256)], dtype=np.int64)
 
 
@@ -245,11 +249,12 @@ def _mapped(groups: DataFrame, links_of: Callable) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _linked(cells: DataFrame, wide: DataFrame | Callable, near: Callable[[pa.StructArray], Near], block: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, str]:
+def _linked(cells: DataFrame, wide: DataFrame | Callable, near: Callable[[pa.StructArray], Near], block: int, finer: Callable[[DataFrame], DataFrame] | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, str]:
     """Edges (a, b) enough to connect all nodes that share a cell and are ``near``; stored, and its path.
 
     ``cells``: gm_node, gm_size (bytes of its row of ``wide``), gm_t (the table) and gm_cell.  ``wide``: gm_node and what ``near``
-    compares, or a function that reads it for the nodes that share a cell at all.  ``finer`` makes the cells of rows of large cells.
+    compares, or a function that reads it for the nodes that share a cell at all.  ``finer`` makes the cells of rows of large cells;
+    ``again`` makes cells of the nodes outside the largest component, where these alone are more than ``APART`` blocks of a cell.
     """
     spark = cells.sparkSession
     met, met_path = _met(cells, block)
@@ -288,7 +293,15 @@ def _linked(cells: DataFrame, wide: DataFrame | Callable, near: Callable[[pa.Str
         "gm_node", "gm_root", "gm_cell", F.when(F.col("gm_in"), F.col("gm_mine")).otherwise(F.col("gm_other")).alias("gm_i"),
         F.when(F.col("gm_in"), F.col("gm_other")).otherwise(F.col("gm_mine")).alias("gm_j"), F.col("gm_in").alias("gm_first"), F.lit(True).alias("gm_across"),
     )
-    among = here.filter("not gm_in").withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_q") - 1)))
+    outside = here.filter("not gm_in")
+    third, third_path = None, []
+    if again is not None:
+        many = outside.filter(F.col("gm_q") > APART)
+        if not many.isEmpty():
+            third, path_of_third = _linked(again(many.select("gm_node", "gm_size", "gm_cell")), rows, near, block)
+            third_path = [path_of_third]
+        outside = outside.filter(F.col("gm_q") <= APART)
+    among = outside.withColumn("gm_other", F.explode(F.sequence(F.lit(0), F.col("gm_q") - 1)))
     i, j = F.least("gm_mine", "gm_other"), F.greatest("gm_mine", "gm_other")
     among = among.select("gm_node", "gm_root", "gm_cell", i.alias("gm_i"), j.alias("gm_j"), (F.col("gm_mine") == i).alias("gm_first"), F.lit(False).alias("gm_across"))
     full = joined(across.unionByName(among))
@@ -300,8 +313,9 @@ def _linked(cells: DataFrame, wide: DataFrame | Callable, near: Callable[[pa.Str
         return bridges(every[:n], every[n:], label, near(rows)) if n < len(rows) else bridges(every, every, label, near(rows))
 
     second, second_path = _few(_mapped(groups, joins), "links", kept_path)
-    both, both_path = _few(first.union(second).distinct(), "links", path, second_path)
-    delete(spark, path, second_path, kept_path, sums_path, *spent, *used)
+    every = first.union(second) if third is None else first.union(second).union(third)
+    both, both_path = _few(every.distinct(), "links", path, second_path, *third_path)
+    delete(spark, path, second_path, kept_path, sums_path, *third_path, *spent, *used)
     return both, both_path
 
 
@@ -462,7 +476,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     spread = nodes.filter("gm_n > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
     cells = spread.select("gm_node", (6 * F.col("gm_n") + BANDS * ROWS).alias("gm_size"), F.posexplode(F.array(*_NAMES)).alias("gm_t", "gm_band"))
     cells = cells.select("gm_node", "gm_size", "gm_t", F.xxhash64("gm_t", "gm_band").alias("gm_cell"))
-    found = _linked(cells, _read_sets(rows, nodes), _sets_near, block)
+
+    def again(outside: DataFrame) -> DataFrame:
+        """Cells of nodes that share two bands: that of their cell and another."""
+        banded = outside.join(nodes.select("gm_node", F.array(*_NAMES).alias("gm_bands")), "gm_node")
+        banded = banded.select("gm_node", "gm_size", "gm_cell", F.posexplode("gm_bands").alias("gm_t", "gm_band")).withColumn("gm_name", F.xxhash64("gm_t", "gm_band"))
+        return banded.filter("gm_name <> gm_cell").select("gm_node", "gm_size", "gm_t", F.xxhash64("gm_cell", "gm_name").alias("gm_cell"))
+
+    found = _linked(cells, _read_sets(rows, nodes), _sets_near, block, again=again)
     known, known_path = _grouped(nodes, found, "gm_k1", "gm_k2")
     groups, _ = stored(prints.join(known, ["gm_k1", "gm_k2"]).select("gm_id", "gm_r1", "gm_r2", "gm_root", "component_id"), "groups")
     delete(spark, prints_path, path, known_path)

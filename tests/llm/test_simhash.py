@@ -159,6 +159,24 @@ def test_links_of_large_cells_are_few(spark):
     assert sorted(H.bridges(np.arange(45), np.arange(45, 90), label, near))[0][0] == 0 and len(H.bridges(np.arange(45), np.arange(45, 90), label, near)) == 1
 
 
+def test_many_texts_about_one_passage(spark, monkeypatch):
+    """A frequent passage puts texts that are no copies, and a few pairs of copies among them, into cells of many blocks: as by brute force."""
+    monkeypatch.setattr(H, "APART", 2)
+    rng = random.Random(14)
+    words = [f"word{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(120)]
+    rows = [(i, " ".join([rng.choice(words) for _ in range(rng.randint(20, 60))] + passage)) for i in range(200)]
+    rows += [(1000 + i, " ".join(edited(rng, words, rows[5 * i][1].split(), "scattered", 0.1))) for i in range(30)]
+    want, pairs = exact_groups(rows)
+    seen = []
+    known, H._linked = H._linked, lambda *a, **k: seen.append(1) or known(*a, **k)
+    try:
+        got = {r.gm_id: r.component_id for r in H.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    finally:
+        H._linked = known
+    assert got == want and pairs >= 30 and len(seen) == 2
+
+
 def test_sifting_loses_no_row(spark, monkeypatch):
     """Every wanted row passes the bitmap, also one that is full; few others pass one that is not."""
     rows = spark.range(3000).select(F.xxhash64("id").alias("gm_r1"), "id")
