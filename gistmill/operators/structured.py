@@ -110,7 +110,7 @@ def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = '"price":0.50,"big":12345678,"tiny":0.00001,"flag":true,"none":null,"nest":{"b":[1,null,"x<y"],"a":{}},"origin":"a warehouse far to the north of here","path":"/var/lib/warehouse/incoming/of/the/north/and/the/far/south"'
     rows = [F.concat(F.lit('{"id":'), (number + i).cast("string"), F.lit(f',"note":"{_NOTE}{i}","line":"one\\ntwo {i}",{same}}}')) for i in range(4)]
     doc = F.concat(F.lit("["), F.concat_ws(",", *rows), F.lit("]"))
-    return engine.distilled(X.table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "event_id", "doc").select("event_id", "out", "pass")
+    return engine.distilled(tables.scan(spark, f"{sf_dir}/events.parquet").select("event_id", doc.alias("doc")), "event_id", "doc").select("event_id", "out", "pass")
 
 
 JSON_CELLS_SQL = f"""
