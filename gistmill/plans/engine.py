@@ -159,10 +159,22 @@ class Engine:
         return texts.select(F.explode(refs).alias("ref"), "text").dropDuplicates(["ref"])
 
     def decisions(self, results: DataFrame, used: int) -> DataFrame:
-        """Family, is_user, content_sha, out, pass and used of every block that was rewritten, or served, in ``results``: a run with the number ``used``."""
-        rows = results.select("family", F.explode("decisions").alias("d")).filter("d.pass <> 'repeat'")
-        rows = rows.select("family", F.col("d.is_user").alias("is_user"), F.sha2("d.text", 256).alias("content_sha"), F.col("d.out").alias("out"), F.col("d.pass").alias("pass"), F.lit(used).cast("long").alias("used"))
-        return rows.dropDuplicates(_KEY)
+        """Family, is_user, content_sha, out, pass and used of every block that was rewritten, or served, in ``results``: a run with the number ``used``.
+
+        Blocks that were left as they are, and that other parameters would rewrite (a shorter tag saves more), are decisions as well: their ``out`` is the
+        text and their ``pass`` is ``none``.  Bodies that were skipped have none.
+        """
+        rows = results.select("family", F.when(~F.col("skipped") & F.col("error").isNull(), F.col("body")).alias("body"), "decisions")
+        small_batches(self.spark)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    got = [d for row in batch.slice(at, 256).to_pylist() for d in B.decided(row["family"], row["body"], row["decisions"])]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.bool_() if k == 1 else pa.string()) for k in range(5)], names=[*_KEY, "out", "pass"])
+
+        made = rows.mapInArrow(work, "family string, is_user boolean, content_sha string, out string, pass string")
+        return made.withColumn("used", F.lit(used).cast("long")).dropDuplicates(_KEY)
 
     def decide(self, blocks: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
         """(family, is_user, content_sha, out, pass, served) of each distinct ``text``; those in ``decisions`` are taken from it, and ``served``."""

@@ -127,6 +127,24 @@ def test_decisions_outlive_a_run(spark, requests, tmp_path):
     assert files.merge_decisions(kept, None, 0).count() == 0 and later.apply(requests, decisions=kept, capacity=0).filter("memo_hits > 0").count() == 0
 
 
+def test_blocks_left_alone_stay(spark, tmp_path):
+    """What the first run sent as it was, as its marker would have saved too little, a run with a shorter tag does not rewrite."""
+    lines = log(46).split("\n")
+    near = next(t for n in range(400) if E.distill(t := "\n".join([*lines, "x" * n]), "gpt")[1] == "none" and E.distill(t, "gpt", tag="a")[1] == "elide")
+    texts = [("tool", near), ("user", f"<tool_output>{near}</tool_output>"), ("tool", log(500)), ("tool", "plain words " * 90)]
+    made = spark.createDataFrame([(i, chat(t, ("user", "tool"), model="gpt-5")) for i, t in enumerate(texts)] + [(9, chat(*texts, model="gpt-5"))], "request_id long, body string")
+    engine, later = Engine(spark), Engine(spark, tag="a")
+    first = engine.apply(made)
+    files.write_decisions(files.merge_decisions(engine.decisions(first, 1)), str(tmp_path / "one"))
+    kept = files.read_decisions(spark, str(tmp_path / "one"))
+    assert sorted((r["pass"], r.is_user, r.content_sha == E.sha(r.out)) for r in kept.collect()) == [("elide", False, False), ("none", False, True), ("none", True, True)]
+    sent = {r.request_id: (r.body, r.blocks) for r in first.collect()}
+    assert sent != {r.request_id: (r.body, r.blocks) for r in later.apply(made).collect()}
+    for plan in (later.apply, later.apply_shared):
+        again = plan(made, decisions=kept).collect()
+        assert {r.request_id: (r.body, r.blocks) for r in again} == sent and sorted(r.memo_hits for r in again) == [0, 0, 0, 1, 1]
+
+
 def test_originals_resolve(spark, requests, tmp_path):
     engine = Engine(spark)
     kept = engine.originals(engine.apply(requests))
