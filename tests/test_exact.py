@@ -96,6 +96,16 @@ def test_tables():
     assert E.distill_json(json.dumps(rows(2))) is None
 
 
+def test_ids_in_columns_keep_their_digits():
+    """Integers of a column are written as they stand, also beyond a million and beyond what a float holds; those that all rows share too, if a float loses them."""
+    ids, big = [999_999, 1_000_000, 6_000_001, 2**53 + 1], 12345678
+    how, out = E.distill_json(json.dumps([{"id": i, "part": i / 2, "big": big, "huge": 2**53 + 1, "origin": "a warehouse far to the north"} for i in ids]))
+    assert how == "table" and out.endswith("| id | part |\n|---|---|\n| 999999 | 499999.5 |\n| 1000000 | 500000 |\n| 6000001 | 3.0000005e+06 |\n| 9007199254740993 | 4.503599627370496e+15 |\n")
+    assert "big=1.2345678e+07 · all rows: huge=9007199254740993 ·" in out
+    near = E.distill_json(json.dumps([{"id": 2**53 + i % 2, "origin": "a warehouse far to the north, where it is cold"} for i in range(4)]))[1]
+    assert near.endswith("| id |\n|---|\n| 9007199254740992 |\n| 9007199254740993 |\n| 9007199254740992 |\n| 9007199254740993 |\n")
+
+
 def test_cells_and_numbers():
     assert [E.cell(E.parse(x)) for x in ("1000000", "12", "1.50", "1e-7", "true", '{"b":1,"a":[null,"x"]}')] == ["1e+06", "12", "1.5", "1e-07", "true", '{"a":[null,"x"],"b":1}']
     assert E.table_cell("é" * 60)[0] == "é" * 38 + "\ufffd..."
