@@ -106,6 +106,13 @@ def test_ids_in_columns_keep_their_digits():
     assert near.endswith("| id |\n|---|\n| 9007199254740992 |\n| 9007199254740993 |\n| 9007199254740992 |\n| 9007199254740993 |\n")
 
 
+def test_ids_in_deep_tables_keep_their_digits():
+    items = [{"event_id": 5_999_990 + i, "type": "view", "k": i, "source": "web"} for i in range(20)]
+    how, out = E.distill_json(json.dumps({"response": {"total": 1_000_000, "data": items}, "next": None}))
+    assert how == "table" and out.startswith('[... distilled table: 20 rows · from "response.data" · total=1000000 · all rows: type=view · all rows: source=web ...]\n| event_id | k |\n')
+    assert out.endswith("".join(f"| {i['event_id']} | {i['k']} |\n" for i in items))
+
+
 def test_cells_and_numbers():
     assert [E.cell(E.parse(x)) for x in ("1000000", "12", "1.50", "1e-7", "true", '{"b":1,"a":[null,"x"]}')] == ["1e+06", "12", "1.5", "1e-07", "true", '{"a":[null,"x"],"b":1}']
     assert E.table_cell("é" * 60)[0] == "é" * 38 + "\ufffd..."
