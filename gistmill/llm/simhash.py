@@ -24,9 +24,10 @@ probability of 5e-5).  Components are found by
 alternating star contraction on stored tables.
 
 ``near_groups`` links two texts if the Jaccard similarity of their sets of 5-word shingles is 0.8 or
-more.  Texts of one set (by a 128-bit hash) are one node.  Candidates come from 80 MinHashes,
-one byte each: 20 bands of 4 name the cells, and a pair of one cell is compared as a whole if at least 48 of
-80 agree and its sizes allow 0.8.  By calculation a pair of similarity 0.8 is missed with a probability of 3e-5, more similar ones of far less, whatever the
+more.  Texts of one set (by a 128-bit hash) are one node.  Candidates come first from SimHash: the fingerprint of the set, each shingle once, and the
+covering masks above, so every pair within 4 bits meets.  A pair of 0.8 differs in about 10 of 64 bits, too many for masks, so the rest come from 80 MinHashes,
+one byte each: 20 bands of 4 name further cells.  A pair of one cell is compared as a whole if it lies within 4 bits, or at least 48 of
+80 agree, and its sizes allow 0.8.  By calculation a pair of similarity 0.8 is missed with a probability of 3e-5, more similar ones of far less, whatever the
 kind of edit, as MinHashes know the similarity alone.  The comparison is of the whole sets, as 48-bit hashes, inside the task that holds the cell's block:
 only texts that share a cell with another are read for it.
 
@@ -50,7 +51,9 @@ from pyspark.sql import functions as F
 from gistmill.llm.common import delete, documents, id_and_text, size_of, small_batches, stored, texts
 
 SEED = 42
-#: MinHashes of near_groups: a cell is a band of ROWS; LEAST of all agree in a pair that is compared.
+#: Bits in which fingerprints that are linked may differ.
+RADIUS = 4
+#: MinHashes of near_groups: a cell is a band of ROWS; LEAST of all agree in a pair beyond RADIUS that is compared.
 BANDS, ROWS, LEAST = 20, 4, 48
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Rows and bytes of a block of nodes.
@@ -102,6 +105,14 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype="<u8", count=len(starts)))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of a set of shingles, each counted once."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        majority(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), counts)
+    return _bits(counts, len(hashes))
+
+
 def minhashes(hashes: np.ndarray) -> np.ndarray:
     """A byte of each of the ``BANDS * ROWS`` MinHashes of a set."""
     least = np.full(len(_FACTORS), 0xFFFFFFFF, dtype=np.uint32)
@@ -173,8 +184,10 @@ def _prints_near(rows: pa.StructArray, radius: int) -> Near:
     return lambda at, others: np.bitwise_count(node[others] ^ node[at]) <= radius
 
 
-def _sets_near(rows: pa.StructArray) -> Near:
-    """Similarity of 0.8 or more, of sets as sorted 48-bit hashes; only of pairs whose sizes and MinHashes allow it."""
+def _sets_near(rows: pa.StructArray, radius: int = RADIUS, least: int = LEAST) -> Near:
+    """Similarity of 0.8 or more, of sets as sorted 48-bit hashes; only of pairs whose sizes allow it, and whose fingerprints lie within ``radius`` bits or of whose
+    MinHashes ``least`` agree."""
+    prints = rows.field("gm_fp").to_numpy(zero_copy_only=False).view(np.uint64)
     raw = rows.field("gm_set").to_pylist()
     size = np.array([len(r) // 6 for r in raw])
     marks = np.frombuffer(b"".join(rows.field("gm_marks").to_pylist()), dtype=np.uint8).reshape(len(raw), -1)
@@ -187,7 +200,8 @@ def _sets_near(rows: pa.StructArray) -> Near:
 
     def near(at: int, others: np.ndarray) -> np.ndarray:
         likely = 5 * np.minimum(size[others], size[at]) >= 4 * np.maximum(size[others], size[at])
-        likely[likely] = np.count_nonzero(marks[others[likely]] == marks[at], axis=1) >= LEAST
+        some = others[likely]
+        likely[likely] = (np.bitwise_count(prints[some] ^ prints[at]) <= radius) | (np.count_nonzero(marks[some] == marks[at], axis=1) >= least)
         likely[likely] = [similar(read(at), read(x)) for x in others[likely].tolist()]
         return likely
 
@@ -411,21 +425,22 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(rows: DataFrame, width: int = 5) -> DataFrame:
-    """gm_id, gm_r1, gm_r2, 128 bits that name the shingle set (gm_k1, gm_k2), gm_n, its size, and its bands of every row of ``_keyed``."""
+    """gm_id, gm_r1, gm_r2, 128 bits that name the shingle set (gm_k1, gm_k2), gm_n, its size, gm_fp, its fingerprint as a signed long, and its bands of every row of ``_keyed``."""
     small_batches(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in texts(batch.column(1))]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets), dtype="<i8").reshape(-1, 2)
+            prints = [_signed(set_fingerprint(s)) for s in sets]
             bands = np.stack([minhashes(s) for s in sets]).view("<i4") if sets else np.zeros((0, BANDS), dtype="<i4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), *map(pa.array, bands.T)],
-                names=["gm_id", "gm_r1", "gm_r2", "gm_k1", "gm_k2", "gm_n", *_NAMES],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.int64()), *map(pa.array, bands.T)],
+                names=["gm_id", "gm_r1", "gm_r2", "gm_k1", "gm_k2", "gm_n", "gm_fp", *_NAMES],
             )
 
     kind = rows.schema["gm_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"gm_id {kind}, gm_r1 long, gm_r2 long, gm_k1 long, gm_k2 long, gm_n long, " + ", ".join(f"{n} int" for n in _NAMES))
+    return rows.mapInArrow(work, f"gm_id {kind}, gm_r1 long, gm_r2 long, gm_k1 long, gm_k2 long, gm_n long, gm_fp long, " + ", ".join(f"{n} int" for n in _NAMES))
 
 
 #: Words of 64 bits in the bitmap of ``_sifted``.
@@ -444,46 +459,52 @@ def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _read_sets(rows: DataFrame, nodes: DataFrame, width: int = 5) -> Callable[[DataFrame], tuple[DataFrame, str]]:
-    """For ``_linked``: gm_node, gm_marks and gm_set of the nodes that share a cell, from one text of each, read again."""
+    """For ``_linked``: gm_node, gm_fp, gm_marks and gm_set of the nodes that share a cell, from one text of each, read again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in texts(batch.column(1))]
+            sets = [shingle_set(t, width) for t in texts(batch.column(2))]
             short = [np.unique(s & np.uint64((1 << 48) - 1)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([minhashes(s).tobytes() for s in sets], pa.binary()), pa.array(map(packed, short), pa.binary())], names=["gm_node", "gm_marks", "gm_set"]
-            )
+                [batch.column(0), batch.column(1), pa.array([minhashes(s).tobytes() for s in sets], pa.binary()), pa.array(map(packed, short), pa.binary())],
+                names=["gm_node", "gm_fp", "gm_marks", "gm_set"],
+            )
 
     def read(met: DataFrame) -> tuple[DataFrame, str]:
-        wanted, path = stored(nodes.join(met.select("gm_node").distinct(), "gm_node", "left_semi").select("gm_node", "gm_r1", "gm_r2"), "wanted")
-        chosen = _sifted(rows, wanted).join(wanted, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_node", "gm_text")
-        sets = stored(chosen.mapInArrow(work, "gm_node long, gm_marks binary, gm_set binary"), "sets")
+        wanted, path = stored(nodes.join(met.select("gm_node").distinct(), "gm_node", "left_semi").select("gm_node", "gm_fp", "gm_r1", "gm_r2"), "wanted")
+        chosen = _sifted(rows, wanted).join(wanted, ["gm_r1", "gm_r2"]).dropDuplicates(["gm_r1", "gm_r2"]).select("gm_node", "gm_fp", "gm_text")
+        sets = stored(chosen.mapInArrow(work, "gm_node long, gm_fp long, gm_marks binary, gm_set binary"), "sets")
         delete(rows.sparkSession, path)
         return sets
 
     return read
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``df``: gm_id, gm_r1 and gm_r2 (128 bits that name the row), gm_root, which names the component, and component_id, by similarity of 0.8 or more."""
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
+    """One row per row of ``df``: gm_id, gm_r1 and gm_r2 (128 bits that name the row), gm_root, which names the component, and component_id, by similarity of 0.8 or more.
+
+    Pairs within ``radius`` bits are compared by way of the covering masks, others by way of the bands if ``least`` MinHashes agree.
+    """
     spark = df.sparkSession
     rows = _keyed(df, id_col, text_col)
     prints, prints_path = stored(sketches(rows), "sketches")
     # a node is a set, named by a number of its own once its table is written, and has one of its rows to be read again
-    least = [F.min("gm_id").alias("gm_least"), F.min("gm_r1").alias("gm_r1"), F.min_by("gm_r2", "gm_r1").alias("gm_r2")]
-    sets = prints.groupBy("gm_k1", "gm_k2").agg(*least, *[F.first(c).alias(c) for c in ["gm_n", *_NAMES]])
+    lowest = [F.min("gm_id").alias("gm_least"), F.min("gm_r1").alias("gm_r1"), F.min_by("gm_r2", "gm_r1").alias("gm_r2")]
+    sets = prints.groupBy("gm_k1", "gm_k2").agg(*lowest, *[F.first(c).alias(c) for c in ["gm_n", "gm_fp", *_NAMES]])
     nodes, path = stored(sets.withColumn("gm_node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.filter("gm_n > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a node makes many rows
-    cells = spread.select("gm_node", (6 * F.col("gm_n") + BANDS * ROWS).alias("gm_size"), F.posexplode(F.array(*_NAMES)).alias("gm_t", "gm_band"))
+    bands = [F.col(n).cast("long") for n in _NAMES]
+    masked = [F.col("gm_fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)]
+    cells = spread.select("gm_node", (6 * F.col("gm_n") + BANDS * ROWS + 8).alias("gm_size"), F.posexplode(F.array(*bands, *masked)).alias("gm_t", "gm_band"))
     cells = cells.select("gm_node", "gm_size", "gm_t", F.xxhash64("gm_t", "gm_band").alias("gm_cell"))
 
     def again(outside: DataFrame) -> DataFrame:
-        """Cells of nodes that share two bands: that of their cell and another."""
-        banded = outside.join(nodes.select("gm_node", F.array(*_NAMES).alias("gm_bands")), "gm_node")
+        """Cells of nodes that share a band beside what names their cell, a band or a masked fingerprint."""
+        banded = outside.join(nodes.select("gm_node", F.array(*bands).alias("gm_bands")), "gm_node")
         banded = banded.select("gm_node", "gm_size", "gm_cell", F.posexplode("gm_bands").alias("gm_t", "gm_band")).withColumn("gm_name", F.xxhash64("gm_t", "gm_band"))
         return banded.filter("gm_name <> gm_cell").select("gm_node", "gm_size", "gm_t", F.xxhash64("gm_cell", "gm_name").alias("gm_cell"))
 
-    found = _linked(cells, _read_sets(rows, nodes), _sets_near, block, again=again)
+    found = _linked(cells, _read_sets(rows, nodes), lambda r: _sets_near(r, radius, least), block, again=again)
     known, known_path = _grouped(nodes, found, "gm_k1", "gm_k2")
     groups, _ = stored(prints.join(known, ["gm_k1", "gm_k2"]).select("gm_id", "gm_r1", "gm_r2", "gm_root", "component_id"), "groups")
     delete(spark, prints_path, path, known_path)

@@ -258,3 +258,24 @@ def test_no_link_below_the_bound(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.gm_id: r.component_id for r in H.near_groups(df, block=16).collect()} == want
     assert sorted(r.doc_id for r in H.deduplicated(df).collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_come_through_covering_masks(spark):
+    """With the MinHashes shut out, the copies within 4 bits are still found, all of them, by the masks of the fingerprints, and only those of 0.8 or more."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 500))]
+        rows += [(4 * g + c, " ".join(edited(rng, words, base, kind, part))) for c, (kind, part) in enumerate((("cut", 0), ("appended", 0.01), ("cut", 0.03), ("scattered", 0.06)))]
+    sets = [H.shingle_set(t.encode()) for _, t in rows]
+    prints = [H.set_fingerprint(s) for s in sets]
+    assert prints[5] == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in sets[5]) > len(sets[5]))
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4 and H.similar(sets[i], sets[j])]
+    want = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, j in edges:
+            want[i] = want[j] = min(want[i], want[j])
+    assert len(edges) > 60
+    got = H.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=8, least=H.BANDS * H.ROWS + 1)
+    assert {r.gm_id: r.component_id for r in got.collect()} == want
