@@ -66,8 +66,11 @@ JSON_PRUNE_SQL = f"""SELECT event_id, '{{"id":' || event_id || ',"k":' || {_K} |
 
 
 def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays two levels down, in turn: alone; beside a scalar, which no headline would show; and beside a nested member."""
-    n, shape = F.col("n").cast("string"), F.pmod("user_id", F.lit(3))
+    """Arrays two levels down, in turn: alone; beside a scalar, which no headline would show; and beside a nested member.
+
+    The remainder has the sign of the id, as in the SQL, so ids below zero have the first form or the last.
+    """
+    n, shape = F.col("n").cast("string"), F.col("user_id") % 3
     deep = F.concat(F.lit('{"response":{"total":'), n, F.lit(',"data":'), "doc", F.lit("}"))
     doc = F.when(shape == 0, F.concat(deep, F.lit(',"next":null}'))).when(shape == 1, F.concat(deep, F.lit(',"object":"list"}'))).otherwise(F.concat(F.lit('{"data":'), "doc", F.lit(',"meta":{"total":'), n, F.lit("}}")))
     return X.arrays(spark, sf_dir).select("user_id", doc.alias("doc"))

@@ -33,6 +33,16 @@ def test_query_equals_sql(spark, db, name):
     assert len(got) > 0 and plain(got) == plain(want)
 
 
+@pytest.mark.parametrize("name", ["json_lift_deep", "json_lift_keys"])
+def test_deep_arrays_equal_sql_below_zero(spark, tmp_path, name):
+    """Users on both sides of zero, with ids beyond a million."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (event_id + 5999500 AS event_id, user_id - 7 AS user_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = catalogue.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalogue.oracle_sql()[name]).df()
+    assert len(got) > 0 and plain(got) == plain(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
